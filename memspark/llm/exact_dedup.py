@@ -91,11 +91,13 @@ def deduplicated(spark: SparkSession, docs: DataFrame, index: DigestIndex | None
     columns are carried, whatever their names.
     """
     index = index or fresh_index(spark)
-    keep = index.add(docs).filter("kept").select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"), F.col("length").alias("__length")).groupBy("__digest", "__id").agg(F.max("__length").alias("__length"))
-    rows = docs.withColumn("__own", digest(F.col("text")))
-    same = (F.col("__own") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.length(F.coalesce(F.col("text"), F.lit(""))) == F.col("__length"))
-    first = Window.partitionBy("__own", "doc_id").orderBy("__own")
-    return rows.join(keep, same).withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = index.add(docs).filter("kept").groupBy("digest", F.col("doc_id").alias("id")).agg(F.max("length").alias("length")).alias("k")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", digest(F.col("row.text")).alias("digest"), F.col("row.doc_id").cast("long").alias("id"), F.length(F.coalesce(F.col("row.text"), F.lit(""))).cast("long").alias("length")).alias("r")
+    same = (F.col("r.digest") == F.col("k.digest")) & F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.length") == F.col("k.length"))
+    first = Window.partitionBy("digest", "id").orderBy("length")
+    kept = rows.join(keep, same, "left_semi").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

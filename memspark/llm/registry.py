@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from memspark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from memspark.llm.mixing import op10_mixing
+from memspark.llm.simhash import op1_simhash_dedup
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
