@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from memspark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from memspark.llm.mixing import op10_mixing
+from memspark.llm.packing import op3_best_fit_packing
+from memspark.llm.sharding import op9_sharding
 from memspark.llm.simhash import op1_simhash_dedup
+from memspark.llm.token_counts import op4_token_counts
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_token_counts": op4_token_counts,
+    "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
 
