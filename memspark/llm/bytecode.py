@@ -73,10 +73,11 @@ def words(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         at = stop
 
 
-def column_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(data, starts, ends, hashes, first) of a column: first[i] to first[i+1] are the words of row i."""
+def column_words(column: pa.Array, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, starts, ends, hashes, first) of a column: first[i] to first[i+1] are the words of row i. ``fold`` maps bytes first."""
     data, offsets = buffers(column)
-    # a zero-width border between rows: words never join, because each row's stretch is cut apart
+    data = data if fold is None else fold[data]
+    # a space between rows: their words never join
     spaced = np.insert(data, offsets[1:-1], 0x20) if len(offsets) > 2 else data
     shift = offsets + np.minimum(np.arange(len(offsets)), max(0, len(offsets) - 2))
     found = list(words(spaced))
