@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: Bytes that are hashed at once; a cut falls on white space.
 STRETCH = 1 << 20
@@ -51,7 +52,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def words(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def words(data: np.ndarray, hashed: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(starts, ends, hashes) of the words of ``data``, stretch by stretch; a word's hash depends on its bytes alone."""
     at = 0
     while at < len(data):
@@ -66,23 +67,39 @@ def words(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         inside = ~IS_SPACE[part]
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if len(starts):
+        if len(starts) and not hashed:
+            yield starts + at, ends + at, np.empty(0, np.uint64)
+        elif len(starts):
             up, down = powers(len(part) + 1)
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[part] * up[: len(part)], dtype=np.uint64)))
             yield starts + at, ends + at, mixed((total[ends] - total[starts]) * down[starts])
         at = stop
 
 
-def column_words(column: pa.Array, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(data, starts, ends, hashes, first) of a column: first[i] to first[i+1] are the words of row i. ``fold`` maps bytes first."""
+def column_words(column: pa.Array, fold: np.ndarray | None = None, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, starts, ends, hashes, first) of a column: first[i] to first[i+1] are the words of row i.
+
+    ``fold`` maps bytes first; without ``hashed`` the hashes are left out.
+    """
     data, offsets = buffers(column)
     data = data if fold is None else fold[data]
     # a space between rows: their words never join
     spaced = np.insert(data, offsets[1:-1], 0x20) if len(offsets) > 2 else data
     shift = offsets + np.minimum(np.arange(len(offsets)), max(0, len(offsets) - 2))
-    found = list(words(spaced))
+    found = list(words(spaced, hashed))
     starts = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.int64)
     ends = np.concatenate([x[1] for x in found]) if found else np.empty(0, np.int64)
     hashes = np.concatenate([x[2] for x in found]) if found else np.empty(0, np.uint64)
     first = np.searchsorted(starts, shift[:-1], side="left")
     return spaced, starts, ends, hashes, np.concatenate((first, [len(starts)]))
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``limit`` bytes of text; a longer text is a run of its own."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy()
+    ends = np.cumsum(lengths, dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield batch.slice(a, b - a)
+        a = b

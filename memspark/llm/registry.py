@@ -7,6 +7,7 @@ from memspark.llm.mixing import op10_mixing
 from memspark.llm.packing import op3_best_fit_packing
 from memspark.llm.sharding import op9_sharding
 from memspark.llm.simhash import op1_simhash_dedup
+from memspark.llm.substring_dedup import op6_substring_dedup
 from memspark.llm.token_counts import op4_token_counts
 from memspark.llm.toxicity import op7_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_counts": op4_token_counts,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
