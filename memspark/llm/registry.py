@@ -5,6 +5,7 @@ from __future__ import annotations
 from memspark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from memspark.llm.mixing import op10_mixing
 from memspark.llm.packing import op3_best_fit_packing
+from memspark.llm.quality import op8_quality
 from memspark.llm.sharding import op9_sharding
 from memspark.llm.simhash import op1_simhash_dedup
 from memspark.llm.substring_dedup import op6_substring_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
