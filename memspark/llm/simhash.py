@@ -19,12 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.llm.common import Scratch
 
 SEED = 42
+#: Of the pipeline's stage: five-word shingles, and the largest radius whose tables (2^7 - 1) are affordable.
+STAGE_WORDS, STAGE_RADIUS = 5, 6
 ONE = np.uint64(1)
 LANES = np.uint64(0x0101010101010101)
 #: A-Z to a-z, byte by byte.
@@ -62,14 +64,16 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long) for every row; null text counts as empty: fingerprint zero."""
+    """doc_id, tag (a hash of the text), fp (the fingerprint's 64 bits as a long) of every row; null text counts as empty: fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [signed(fingerprint(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words))) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+            out = [signed(fingerprint(shingle_hashes(t.as_buffer().to_pybytes(), words))) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], names=["doc_id", "tag", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -190,23 +194,36 @@ def state(edges: DataFrame) -> tuple:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that is reachable through links, itself included) for every row.
+    """doc_id, tag, fp, root, component_id (the smallest doc_id that is reachable through links, itself included) for every row.
 
     Null and wordless texts have fingerprint zero and link like any other. Rows whose ids repeat
-    are rows of their own; null ids are never a component's id unless all of its ids are null.
-    An empty table gives no rows. Other columns are ignored.
+    are rows of their own; null ids are never a component's id unless all of its ids are null
+    (root, the component's smallest fingerprint, names it then too). An empty table gives no
+    rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
     printed = scratch.write(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = scratch.write(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(spark, near_pairs(distinct, radius), scratch)
+    roots = components(docs.sparkSession, near_pairs(distinct, radius), scratch)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = scratch.write(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.write(rooted.join(least, "root").select("fp", "component_id"), "named")
+    named = scratch.write(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
     scratch.drop("rooted")
-    return printed.join(named, "fp").select("doc_id", "fp", "component_id")
+    return printed.join(named, "fp").select("doc_id", "tag", "fp", "root", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = STAGE_RADIUS, words: int = STAGE_WORDS) -> DataFrame:
+    """The rows of documents that stay, with all their columns: of each component one row with its smallest id."""
+    scratch = Scratch(docs.sparkSession, "near")
+    found = near_duplicates(docs, radius, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = scratch.write(found.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.tag").alias("tag")).distinct(), "keep").alias("k")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("tag")).alias("r")
+    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.tag") == F.col("k.tag"))
+    first = Window.partitionBy("id", "tag").orderBy("tag")
+    kept = rows.join(keep, same, "left_semi").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
