@@ -96,10 +96,15 @@ def column_words(column: pa.Array, fold: np.ndarray | None = None, hashed: bool
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``limit`` bytes of text; a longer text is a run of its own."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy()
-    ends = np.cumsum(lengths, dtype=np.int64)
+    for a, n in spans(batch.column(column), limit):
+        yield batch.slice(a, n)
+
+
+def spans(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of rows of about ``limit`` bytes."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(), dtype=np.int64)
     a = 0
-    while a < batch.num_rows:
+    while a < len(column):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
-        yield batch.slice(a, b - a)
+        yield a, b - a
         a = b

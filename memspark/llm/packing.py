@@ -138,21 +138,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple = ("doc_id",
     rules = sorted(packing_plan(histogram, capacity))
     plan = np.array(rules or [(0,) * 6], np.int64)
     numbered = placed(pieces.withColumn("__salt", salt_of(SPREAD, *[F.col(c) for c in order])), [end], "__salt", [F.col(c) for c in order], F.lit(1), "__number")
-    names = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     shared = spark.sparkContext.broadcast(plan)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("long")
+    def placed_at(length: pa.Array, number: pa.Array) -> pa.Array:
         rule = shared.value
         keys = rule[:, 0] << 44 | rule[:, 1]  # lengths below 2^19, numbers below 2^44
-        for b in batches:
-            n, number = b.column(names.index(end)).to_numpy(), b.column(len(names)).to_numpy()
-            r = rule[np.searchsorted(keys, n << 44 | number, side="right") - 1]
-            k = number - r[:, 1]
-            bin_, offset = r[:, 3] + k // np.maximum(r[:, 4], 1), r[:, 5] + k % np.maximum(r[:, 4], 1) * n
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(bin_), pa.array(offset)], names=[*names, "sequence_id", "offset"])
-
-    return numbered.select(*names, "__number").mapInArrow(run, schema)
+        n, at = length.to_numpy(), number.to_numpy()
+        r = rule[np.searchsorted(keys, n << 44 | at, side="right") - 1]
+        k, each = at - r[:, 1], np.maximum(r[:, 4], 1)
+        return pa.array((r[:, 3] + k // each) << 20 | r[:, 5] + k % each * n)
+
+    # only length and number go through Python: ids and other columns stay where they are
+    found = numbered.withColumn("__at", placed_at(F.col(end), F.col("__number")))
+    return found.select(*pieces.columns, F.shiftright("__at", 20).alias("sequence_id"), F.col("__at").bitwiseAND(F.lit((1 << 20) - 1)).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int | None = END, ids: bool = True) -> DataFrame:

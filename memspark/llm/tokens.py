@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces that a worker remembers; more than that and it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Code points below this are Latin, or common signs.
 LATIN = 0x23A
 
