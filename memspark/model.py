@@ -10,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 BASE = 1_700_000_000_000
 HOUR, DAY = 3_600_000, 86_400_000
@@ -91,9 +90,6 @@ def load(spark: SparkSession, sf_dir: str) -> Store:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "embeddings", "labels", "events", "orders", "pages")}
     millis = {"events": "unix_millis(CAST(ts AS TIMESTAMP))", "orders": "unix_millis(CAST(o_orderdate AS TIMESTAMP))"}
 
-    def project(sql: str, **over: str) -> DataFrame:
-        return spark.sql(sql.format(**over) if over else sql, **{})
-
     def with_views(sql: str) -> DataFrame:
         # names of DataFrames stand for the tables: no view is registered
         used = {t: df for t, df in tables.items() if f" {t}" in sql}
@@ -102,7 +98,6 @@ def load(spark: SparkSession, sf_dir: str) -> Store:
         return spark.sql(sql, **used)
 
     braces = lambda s: s.replace("{", "{{").replace("}", "}}")
-    del project
     return Store(
         facts=with_views(braces(FACTS)),
         events=with_views(EVENTS.format(ms=millis["events"])),
@@ -112,14 +107,10 @@ def load(spark: SparkSession, sf_dir: str) -> Store:
     )
 
 
-PREFIX = f"WITH facts AS ({FACTS}), mem_events AS ({EVENTS.format(ms='epoch_ms(ts)')}), tasks AS ({TASKS.format(ms='epoch_ms(o_orderdate)')}), edges AS ({EDGES}), sources AS ({SOURCES})"
+PREFIX = f"WITH RECURSIVE facts AS ({FACTS}), mem_events AS ({EVENTS.format(ms='epoch_us(ts) // 1000')}), tasks AS ({TASKS.format(ms='epoch_us(o_orderdate) // 1000')}), edges AS ({EDGES}), sources AS ({SOURCES})"
 
 
 def oracle(sql: str) -> str:
     """DuckDB SQL over the memory tables; ``sql`` may begin with its own WITH."""
     sql = sql.strip()
     return f"{PREFIX}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"{PREFIX} {sql}"
-
-
-def long(c: str) -> F.Column:
-    return F.col(c).cast("long").alias(c)

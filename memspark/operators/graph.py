@@ -31,9 +31,10 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, depth:
     frontier = anchors.select("entity_id", F.col("id").alias("anchor"), "id", F.lit(0).alias("depth"))
     reached = frontier
     for d in range(1, depth + 1):
-        found = frontier.join(hop.withColumnRenamed("at", "id"), ["entity_id", "id"]).select("entity_id", "anchor", F.col("to").alias("id")).distinct()
-        frontier = found.join(reached.select("anchor", "id"), ["anchor", "id"], "left_anti").select("entity_id", "anchor", "id", F.lit(d).alias("depth"))
+        # a node met again on a longer way is a row more, and the least depth wins: no join with all that went before
+        frontier = frontier.join(hop.withColumnRenamed("at", "id"), ["entity_id", "id"]).select("entity_id", "anchor", F.col("to").alias("id")).distinct().withColumn("depth", F.lit(d))
         reached = reached.unionByName(frontier)
+    reached = reached.groupBy("entity_id", "anchor", "id").agg(F.min("depth").alias("depth"))
     if most is None:
         return reached
     from memspark.operators.relational import newest
@@ -72,13 +73,14 @@ def chain(facts: DataFrame, starts: DataFrame, depth: int = 8, forward: bool = T
     link = facts.filter("superseded_by IS NOT NULL").select("entity_id", F.col("id" if forward else "superseded_by").alias("at"), F.col("superseded_by" if forward else "id").alias("to"))
     known = facts.select("entity_id", F.col("id").alias("to"))
     link = link.join(known, ["entity_id", "to"], "left_semi")
-    front = starts.select("entity_id", F.col("id").alias("start"), "id", F.lit(0).alias("depth"))
-    out = front
-    for d in range(1, depth + 1):
-        front = front.join(link.withColumnRenamed("at", "id"), ["entity_id", "id"]).select("entity_id", "start", F.col("to").alias("id"), F.lit(d).alias("depth"))
-        front = front.join(out.select("start", "id"), ["start", "id"], "left_anti").distinct().select("entity_id", "start", "id", "depth")
-        out = out.unionByName(front)
-    return out
+    # one row for each way so far, with its path: a join a link, and cycles end where the path has the next id already
+    rows = starts.select("entity_id", F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"))
+    for _ in range(depth):
+        step = rows.join(link, ["entity_id", "at"], "left")
+        on = F.col("to").isNotNull() & ~F.array_contains("path", F.col("to"))
+        rows = step.select("entity_id", "start", F.when(on, F.col("to")).alias("at"), F.when(on, F.array_append("path", F.col("to"))).otherwise(F.col("path")).alias("path"))
+    found = rows.select("entity_id", "start", F.posexplode("path").alias("depth", "id"))
+    return found.groupBy("entity_id", "start", "id").agg(F.min("depth").alias("depth"))
 
 
 def history(facts: DataFrame, starts: DataFrame, depth: int = 8) -> DataFrame:

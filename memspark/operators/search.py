@@ -28,8 +28,11 @@ def term_frequencies(rows: DataFrame, query: list[str], fields: dict[str, float]
     split = {f: T.tokens(F.col(f)) for f in fields}
     cols = rows.select("id", "entity_id", *[split[f].alias(f"__{f}") for f in fields])
     length = sum((F.size(f"__{f}") for f in fields), F.lit(0))
-    hit = (lambda t, q: t.startswith(q)) if prefix else (lambda t, q: t == q)
-    tfs = [sum((F.size(F.filter(f"__{f}", lambda t, q=q: hit(t, q))) * w for f, w in fields.items()), F.lit(0.0)).alias(f"tf_{i}") for i, q in enumerate(query)]
+
+    def hits(field: str, token: str) -> Column:
+        return F.size(F.filter(f"__{field}", lambda t: t.startswith(token) if prefix else t == F.lit(token)))
+
+    tfs = [sum((hits(f, q) * w for f, w in fields.items()), F.lit(0.0)).alias(f"tf_{i}") for i, q in enumerate(query)]
     return cols.select("id", "entity_id", length.cast("double").alias("len"), *tfs)
 
 

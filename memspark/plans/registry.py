@@ -1,5 +1,7 @@
 """Every registered query of the memory engine, with its DuckDB SQL."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from memspark.plans import queries, queries_ranked, queries_text
+
+FLAGSHIP = queries_ranked.hybrid_read.__name__
+QUERIES = dict(queries_text.QUERIES)
+ORACLE_SQL = dict(queries.ORACLE_SQL)
