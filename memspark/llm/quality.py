@@ -90,7 +90,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 3):
+            for part in slices(batch, 3, 1 << 20):
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(list(surface(part.column(3))), pa.list_(pa.float64()))], names=["doc_id", "host", "path", "x"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("\x00")).alias("host"), F.coalesce(path.cast("string"), F.lit("\x00")).alias("path"), F.col(text_col).cast("binary").alias("text"))

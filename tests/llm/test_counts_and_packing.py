@@ -118,7 +118,7 @@ def test_sharding(spark, docs, rows, empty, tmp_path):
 def test_min_cost_flow_is_least():
     arcs = [(0, 1, 4, 0), (0, 2, 3, 0), (1, 3, 3, 5), (1, 4, 4, 1), (2, 3, 3, 2), (3, 5, 4, 0), (4, 5, 3, 0)]
     flow = sharding.min_cost_flow(6, arcs, 0, 5)
-    assert flow[0] + flow[1] == 7 - 1 and sum(f * a[3] for f, a in zip(flow, arcs)) == 3 * 1 + 3 * 2
+    assert flow[0] + flow[1] == 7 and sum(f * a[3] for f, a in zip(flow, arcs)) == 3 * 1 + 3 * 2 + 1 * 5
 
 
 def levels(sizes, weights=(5, 2, 1), share=1.5):
