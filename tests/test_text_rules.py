@@ -17,7 +17,7 @@ def test_chunks_cover_the_text():
             at = found + len(c)
         assert at == len(text)
     assert C.chunk_text(None) == [] == C.chunk_text("  ")
-    assert C.chunk_text("One two. Three four five", 16, 0) == ["One two. ", "Three four five"]
+    assert C.chunk_text("One two. Three four", 14, 0) == ["One two. ", "Three four"]
 
 
 def test_passages_tile_the_text():
