@@ -89,10 +89,10 @@ RANKED = f"f AS (SELECT id, entity_id, access_count, updated_at, {COS} AS cos FR
 def blended(s: Store, weight: float | None) -> DataFrame:
     rows = S.vector_scores(gated(s).select("id", "entity_id", "access_count", "updated_at", "embedding"), query_vector(s)).drop("embedding")
     both = rows.join(S.normalized(keyword(s)).select("id", "kw"), "id", "left")
-    return both.withColumn("score", F.round(S.hybrid_score(F.col("cos"), F.coalesce("kw", F.lit(0.0)), weight), 6))
+    return both.withColumn("score", F.round(S.hybrid_score(F.col("cos"), F.coalesce("kw", F.lit(0.0)), weight), 8))
 
 
-@query("hybrid_read", f"WITH {BM25}, {RANKED} SELECT f.id, entity_id, round(CASE WHEN cos IS NULL THEN 0.5e0 * coalesce(kw, 0) ELSE 0.5e0 * greatest(0e0, cos) + 0.5e0 * coalesce(kw, 0) END, 6) AS score FROM f LEFT JOIN k ON k.id = f.id ORDER BY score DESC, access_count DESC, updated_at DESC, f.id LIMIT 10")
+@query("hybrid_read", f"WITH {BM25}, {RANKED} SELECT f.id, entity_id, round(CASE WHEN cos IS NULL THEN 0.5e0 * coalesce(kw, 0) ELSE 0.5e0 * greatest(0e0, cos) + 0.5e0 * coalesce(kw, 0) END, 8) AS score FROM f LEFT JOIN k ON k.id = f.id ORDER BY score DESC, access_count DESC, updated_at DESC, f.id LIMIT 10")
 def hybrid_read(s: Store) -> DataFrame:
     return blended(s, 0.5).orderBy(*S.ranking()).limit(10).select("id", "entity_id", "score")
 
@@ -107,11 +107,11 @@ def semantic_read(s: Store) -> DataFrame:
     return blended(s, None).orderBy(*S.ranking()).limit(25).select("id", "score")
 
 
-@query("prefilter_hybrid", f"WITH {BM25}, {RANKED}, p AS (SELECT id, round(kw / greatest(1e0, max(kw) OVER ()), 6) AS kw FROM (SELECT b.id, b.kw FROM bm25 b JOIN f ON f.id = b.id ORDER BY b.kw DESC, b.id LIMIT 50)) SELECT f.id, round(CASE WHEN cos IS NULL THEN 0.3e0 * p.kw ELSE 0.7e0 * greatest(0e0, cos) + 0.3e0 * p.kw END, 6) AS score FROM f JOIN p ON p.id = f.id")
+@query("prefilter_hybrid", f"WITH {BM25}, {RANKED}, p AS (SELECT id, round(kw / greatest(1e0, max(kw) OVER ()), 6) AS kw FROM (SELECT b.id, b.kw FROM bm25 b JOIN f ON f.id = b.id ORDER BY b.kw DESC, b.id LIMIT 50)) SELECT f.id, round(CASE WHEN cos IS NULL THEN 0.3e0 * p.kw ELSE 0.7e0 * greatest(0e0, cos) + 0.3e0 * p.kw END, 8) AS score FROM f JOIN p ON p.id = f.id")
 def prefilter_hybrid(s: Store) -> DataFrame:
     top = keyword(s).join(gated(s).select("id"), "id", "left_semi").orderBy(F.col("kw").desc(), "id").limit(50)
     rows = S.vector_scores(gated(s).select("id", "embedding"), query_vector(s)).drop("embedding").join(S.normalized(top).select("id", "kw"), "id")
-    return rows.select("id", F.round(S.hybrid_score(F.col("cos"), F.col("kw"), 0.7), 6).alias("score"))
+    return rows.select("id", F.round(S.hybrid_score(F.col("cos"), F.col("kw"), 0.7), 8).alias("score"))
 
 
 @query("recency", f"SELECT id, updated_at FROM facts WHERE {GATES} ORDER BY updated_at DESC, id LIMIT 15")
@@ -122,9 +122,9 @@ def recency(s: Store) -> DataFrame:
 WEIGHTS = {"src1": 2.0, "src2": 0.5, "src3": 0.0}
 
 
-@query("tier_weighted", f"WITH {BM25} SELECT id, round(kw * CASE entity_id WHEN 'src1' THEN 2e0 WHEN 'src2' THEN 0.5e0 ELSE 1e0 END, 6) AS score FROM bm25 WHERE entity_id <> 'src3'")
+@query("tier_weighted", f"WITH {BM25} SELECT id, round(kw * CASE entity_id WHEN 'src1' THEN 2e0 WHEN 'src2' THEN 0.5e0 ELSE 1e0 END, 8) AS score FROM bm25 WHERE entity_id <> 'src3'")
 def tier_weighted(s: Store) -> DataFrame:
-    scored = keyword(s).withColumn("score", F.round(S.tier_weighted(F.col("kw"), WEIGHTS), 6))
+    scored = keyword(s).withColumn("score", F.round(S.tier_weighted(F.col("kw"), WEIGHTS), 8))
     return scored.filter(F.col("score") > float("-inf")).select("id", "score")
 
 
