@@ -17,7 +17,7 @@ NOW = BASE + 60 * DAY
 
 FACTS = f"""
 SELECT lpad(CAST(d.doc_id AS STRING), 9, '0') AS id, d.source AS entity_id, substr(d.text, 1, 80) AS title, d.text AS body,
-  d.lang AS tag, CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE d.lang END AS okf_type,
+  d.lang AS tag, CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE d.lang END AS node_type,
   CASE d.doc_id % 3 WHEN 0 THEN 'certain' WHEN 1 THEN 'inferred' ELSE 'tentative' END AS confidence,
   CASE d.doc_id % 4 WHEN 0 THEN 'user_stated' WHEN 1 THEN 'librarian_inferred' WHEN 2 THEN 'user_confirmed' ELSE 'immutable_document' END AS source_type,
   CASE WHEN l.quality = 0 OR d.doc_id % 29 = 0 THEN 'draft' ELSE 'stable' END AS lifecycle_status,

@@ -54,8 +54,8 @@ def induced_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
 def live_edge_types(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """Edges whose ends are live facts of the entity, with both ends' types."""
     live = facts.filter(P.not_deleted())
-    s = live.select("entity_id", F.col("id").alias("source_id"), F.col("okf_type").alias("source_okf"))
-    t = live.select("entity_id", F.col("id").alias("target_id"), F.col("okf_type").alias("target_okf"))
+    s = live.select("entity_id", F.col("id").alias("source_id"), F.col("node_type").alias("source_node_type"))
+    t = live.select("entity_id", F.col("id").alias("target_id"), F.col("node_type").alias("target_node_type"))
     return edges.join(s, ["entity_id", "source_id"]).join(t, ["entity_id", "target_id"])
 
 

@@ -54,7 +54,7 @@ def distinct_entities(*tables: DataFrame, deleted: bool = False) -> DataFrame:
 def fact_health(facts: DataFrame) -> DataFrame:
     """Untyped, draft and unverified inferred live facts of each entity."""
     unverified = (F.col("source_type") == "librarian_inferred") & F.col("verified_by").isNull()
-    counts = {"untyped": F.col("okf_type").isNull(), "drafts": P.is_draft(), "unverified_inferred": unverified}
+    counts = {"untyped": F.col("node_type").isNull(), "drafts": P.is_draft(), "unverified_inferred": unverified}
     return facts.filter(P.not_deleted()).groupBy("entity_id").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
 
 

@@ -212,9 +212,9 @@ def induced_edges(s: Store) -> DataFrame:
     return G.induced_edges(s.edges, kept).select("id", "entity_id", "edge_type")
 
 
-@query("live_edge_types", f"SELECT e.id, a.okf_type AS source_okf, b.okf_type AS target_okf FROM edges e JOIN facts a ON a.entity_id = e.entity_id AND a.id = e.source_id AND a.{ALIVE} JOIN facts b ON b.entity_id = e.entity_id AND b.id = e.target_id AND b.{ALIVE}")
+@query("live_edge_types", f"SELECT e.id, a.node_type AS source_node_type, b.node_type AS target_node_type FROM edges e JOIN facts a ON a.entity_id = e.entity_id AND a.id = e.source_id AND a.{ALIVE} JOIN facts b ON b.entity_id = e.entity_id AND b.id = e.target_id AND b.{ALIVE}")
 def live_edge_types(s: Store) -> DataFrame:
-    return G.live_edge_types(s.edges, s.facts).select("id", "source_okf", "target_okf")
+    return G.live_edge_types(s.edges, s.facts).select("id", "source_node_type", "target_node_type")
 
 
 @query("dangling_edges", f"WITH k AS (SELECT entity_id, id FROM facts WHERE {ALIVE}), m AS (SELECT e.id, EXISTS (SELECT 1 FROM k WHERE k.entity_id = e.entity_id AND k.id = e.source_id) AS s, EXISTS (SELECT 1 FROM k WHERE k.entity_id = e.entity_id AND k.id = e.target_id) AS t FROM edges e) SELECT id, CASE WHEN NOT s AND NOT t THEN 'both' WHEN NOT s THEN 'source' ELSE 'target' END AS missing FROM m WHERE NOT s OR NOT t")
@@ -316,7 +316,7 @@ def pointer_event_facts(s: Store) -> DataFrame:
 # Aggregates
 
 
-@query("fact_health", f"SELECT entity_id, count(*) FILTER (okf_type IS NULL) AS untyped, count(*) FILTER (lifecycle_status = 'draft') AS drafts, count(*) FILTER (source_type = 'librarian_inferred' AND verified_by IS NULL) AS unverified_inferred FROM facts WHERE {ALIVE} GROUP BY entity_id")
+@query("fact_health", f"SELECT entity_id, count(*) FILTER (node_type IS NULL) AS untyped, count(*) FILTER (lifecycle_status = 'draft') AS drafts, count(*) FILTER (source_type = 'librarian_inferred' AND verified_by IS NULL) AS unverified_inferred FROM facts WHERE {ALIVE} GROUP BY entity_id")
 def fact_health(s: Store) -> DataFrame:
     return R.fact_health(s.facts)
 

@@ -385,7 +385,7 @@ def forget_dry_run(s: Store) -> DataFrame:
     return R.live_scan(s.facts).agg(*[F.count_if(c).alias(n) for n, c in pick.items()], F.count(F.lit(1)).alias("everything"))
 
 
-@query("lint_report", f"WITH k AS (SELECT entity_id, id FROM facts WHERE {ALIVE}), h AS (SELECT entity_id, count(*) FILTER (okf_type IS NULL) AS untyped, count(*) FILTER (lifecycle_status = 'draft') AS drafts, count(*) FILTER (source_type = 'librarian_inferred' AND verified_by IS NULL) AS unverified_inferred FROM facts WHERE {ALIVE} GROUP BY 1), d AS (SELECT entity_id, count(*) AS dangling FROM edges e WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.entity_id = e.entity_id AND k.id = e.source_id) OR NOT EXISTS (SELECT 1 FROM k WHERE k.entity_id = e.entity_id AND k.id = e.target_id) GROUP BY 1) SELECT h.*, coalesce(dangling, 0) AS dangling FROM h LEFT JOIN d USING (entity_id)")
+@query("lint_report", f"WITH k AS (SELECT entity_id, id FROM facts WHERE {ALIVE}), h AS (SELECT entity_id, count(*) FILTER (node_type IS NULL) AS untyped, count(*) FILTER (lifecycle_status = 'draft') AS drafts, count(*) FILTER (source_type = 'librarian_inferred' AND verified_by IS NULL) AS unverified_inferred FROM facts WHERE {ALIVE} GROUP BY 1), d AS (SELECT entity_id, count(*) AS dangling FROM edges e WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.entity_id = e.entity_id AND k.id = e.source_id) OR NOT EXISTS (SELECT 1 FROM k WHERE k.entity_id = e.entity_id AND k.id = e.target_id) GROUP BY 1) SELECT h.*, coalesce(dangling, 0) AS dangling FROM h LEFT JOIN d USING (entity_id)")
 def lint_report(s: Store) -> DataFrame:
     d = G.dangling_edges(s.edges, s.facts).groupBy("entity_id").agg(F.count(F.lit(1)).alias("dangling"))
     return R.fact_health(s.facts).join(d, "entity_id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(0)))
