@@ -22,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memspark.llm import jaccard
 from memspark.llm.common import Scratch
 
 SEED = 42
-#: Of the pipeline's stage: five-word shingles, and the largest radius whose tables (2^7 - 1) are affordable.
+#: Five-word shingles, as in the pipeline's stage, and the largest radius whose tables (2^7 - 1) are affordable; the stage links by ``jaccard``.
 STAGE_WORDS, STAGE_RADIUS = 5, 6
 ONE = np.uint64(1)
 LANES = np.uint64(0x0101010101010101)
@@ -204,19 +205,48 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     scratch = Scratch(docs.sparkSession, "simhash")
     printed = scratch.write(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = scratch.write(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(docs.sparkSession, near_pairs(distinct, radius), scratch)
+    return named(printed, distinct, near_pairs(distinct, radius), scratch)
+
+
+def named(printed: DataFrame, distinct: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds root and component_id, by the links (a, b) among the ``distinct`` (fp, least), to (doc_id, tag, fp)."""
+    roots = components(printed.sparkSession, links, scratch)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = scratch.write(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.write(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    names = scratch.write(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
     scratch.drop("rooted")
-    return printed.join(named, "fp").select("doc_id", "tag", "fp", "root", "component_id")
+    return printed.join(names, "fp").select("doc_id", "tag", "fp", "root", "component_id")
+
+
+def similar_sets(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
+    """doc_id, tag, fp, root, component_id as ``near_duplicates`` gives them, but by links of every pair whose
+    sets of ``words``-word shingles reach ``jaccard.SIMILARITY``; fp is a hash of the set. Wordless texts are one set.
+
+    Neighbours in the lists of candidates are linked first: the second round, of all candidates,
+    takes only pairs that are not yet connected, so that a large group costs no square of its size.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
+    rows = scratch.write(jaccard.sets_of(docs, words), "sets")
+    fps = rows.select("fp", "size", "prefix")
+    near = scratch.write(jaccard.candidates(fps.withColumn("root", F.col("fp")), reach=2), "near")
+    links = scratch.write(jaccard.alike(near, rows), "near_links")
+    first = components(spark, links, scratch)
+    rooted = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rest = scratch.write(jaccard.candidates(rooted).join(near, ["a", "b"], "left_anti"), "rest")
+    links = scratch.write(links.unionByName(jaccard.alike(rest, rows)), "all_links")
+    printed = rows.select("doc_id", "tag", "fp")
+    distinct = scratch.write(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = named(printed, distinct, links, scratch)
+    for name in ("near", "rest"):
+        scratch.drop(name)
+    return found
 
 
-def without_near_duplicates(docs: DataFrame, radius: int = STAGE_RADIUS, words: int = STAGE_WORDS) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """The rows of documents that stay, with all their columns: of each component one row with its smallest id."""
     scratch = Scratch(docs.sparkSession, "near")
-    found = near_duplicates(docs, radius, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = similar_sets(docs, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = scratch.write(found.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.tag").alias("tag")).distinct(), "keep").alias("k")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("tag")).alias("r")

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -118,3 +119,32 @@ def test_substring_against_brute_force(docs, rows, empty):
         for r in got:
             assert sum(i["to"] - i["from"] for i in r.intervals) == r.n_removed
     assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def five_word_sets(texts):
+    low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "") for t in texts]
+    split = [WORDS.findall(t) for t in low]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+def test_near_stage_links_every_pair_at_similarity_four_fifths(spark):
+    r = random.Random(5)
+    base = [[f"w{r.randint(0, 9999)}" for _ in range(r.randint(45, 300))] for _ in range(25)]
+    texts = ["", None, "one", "One", "two words", "two Words "]
+    for w in base:
+        for k in range(6):
+            own = list(w)
+            for _ in range(k * len(w) // 250 + (k > 0)):
+                own[r.randrange(len(own))] = f"x{r.randint(0, 9999)}"
+            texts.append(" ".join(own[k:]))
+    sets = five_word_sets(texts)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = {}
+    for i, x in enumerate(label):
+        want.setdefault(x, i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.without_near_duplicates(docs).collect()) == sorted(want.values())
