@@ -46,6 +46,17 @@ def test_toxicity_on_held_out_rows(marked, spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
 
 
+def test_toxicity_counts_the_fold_of_the_curve(marked, spark):
+    docs, labels, rows, marks = marked
+    truth = {i: t for i, _, t in marks if i is not None and t is not None}
+    own = [(i, text + " gremlinish gremlinish", lang, source) if truth.get(i) and folded(i) == 4 else (i, text, lang, source) for i, text, lang, source in rows if i is not None and text]
+    model = toxicity.train(spark.createDataFrame(own, docs.schema), labels)
+    plain = " ".join(f"w{k}" for k in range(20))
+    asked = spark.createDataFrame([(plain + " gremlinish gremlinish",), (plain + " zzyzxians zzyzxians",)], "text string")
+    known, unknown = (r.score for r in asked.select(model.score(asked.text).alias("score")).collect())
+    assert known > unknown
+
+
 def test_toxicity_without_labels(marked, spark):
     docs, labels, rows, _ = marked
     model = toxicity.train(docs, labels.limit(0))
