@@ -53,6 +53,18 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def rows_with(docs: DataFrame, keep: DataFrame, tag: Column) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose (doc_id, tag) is in ``keep`` (id, tag); of rows that repeat
+    both, one. ``tag``, never null, is an expression over ``row``. Texts are exchanged once: the join and the choice share their keys."""
+    null, known = F.col("id").isNull().alias("null"), F.coalesce("id", F.lit(0)).alias("known")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), tag.alias("tag")).select("row", "tag", null, known)
+    keys = ["tag", "known", "null"]
+    kept = rows.join(keep.select("tag", null, known).hint("merge"), keys, "left_semi")
+    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("tag"))).filter("n = 1")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def salt_of(spread: int, *cols: Column) -> Column:
     """0 to spread-1, by content alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(spread)).cast("int")

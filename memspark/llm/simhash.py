@@ -19,15 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import jaccard
-from memspark.llm.common import Scratch
+from memspark.llm.common import Scratch, rows_with
 
 SEED = 42
-#: Five-word shingles, as in the pipeline's stage, and the largest radius whose tables (2^7 - 1) are affordable; the stage links by ``jaccard``.
-STAGE_WORDS, STAGE_RADIUS = 5, 6
+#: The stage takes five-word shingles; it links by ``jaccard``.
+STAGE_WORDS = 5
 ONE = np.uint64(1)
 LANES = np.uint64(0x0101010101010101)
 #: A-Z to a-z, byte by byte.
@@ -228,32 +228,37 @@ def similar_sets(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     rows = scratch.write(jaccard.sets_of(docs, words), "sets")
-    fps = rows.select("fp", "size", "prefix")
-    near = scratch.write(jaccard.candidates(fps.withColumn("root", F.col("fp")), reach=2), "near")
-    links = scratch.write(jaccard.alike(near, rows), "near_links")
+    shared = scratch.write(jaccard.shared_postings(rows), "shared")
+    each = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("tag").alias("tag"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
+    each = scratch.write(each, "each")
+    printed = scratch.write(rows.select("doc_id", "tag", "fp"), "printed")
+    scratch.drop("sets")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.write(jaccard.possible(pairs, each), f"{name}_possible")
+        tags = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(each.select("fp", "tag"), "fp"), f"{name}_tags")
+        sets = scratch.write(jaccard.members_of(docs, tags, words), f"{name}_members")
+        links = scratch.write(jaccard.alike(pairs, sets), f"{name}_links")
+        for part in ("possible", "tags", "members"):
+            scratch.drop(f"{name}_{part}")
+        return links
+
+    near = scratch.write(jaccard.candidates(shared.withColumn("root", F.col("fp")), reach=2), "near")
+    links = checked(near, "near")
     first = components(spark, links, scratch)
-    rooted = fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rest = scratch.write(jaccard.candidates(rooted).join(near, ["a", "b"], "left_anti"), "rest")
-    links = scratch.write(links.unionByName(jaccard.alike(rest, rows)), "all_links")
-    printed = rows.select("doc_id", "tag", "fp")
-    distinct = scratch.write(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = named(printed, distinct, links, scratch)
-    for name in ("near", "rest"):
+    rooted = shared.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    links = links.unionByName(checked(jaccard.candidates(rooted).join(near, ["a", "b"], "left_anti"), "rest"))
+    for name in ("near", "shared"):
         scratch.drop(name)
-    return found
+    return named(printed, each.select("fp", "least"), links, scratch)
 
 
 def without_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """The rows of documents that stay, with all their columns: of each component one row with its smallest id."""
     scratch = Scratch(docs.sparkSession, "near")
     found = similar_sets(docs, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = scratch.write(found.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.tag").alias("tag")).distinct(), "keep").alias("k")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("tag")).alias("r")
-    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.tag") == F.col("k.tag"))
-    first = Window.partitionBy("id", "tag").orderBy("tag")
-    kept = rows.join(keep, same, "left_semi").withColumn("n", F.row_number().over(first)).filter("n = 1")
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    keep = found.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.tag").alias("tag"))
+    return rows_with(docs, scratch.write(keep.distinct(), "keep"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))))
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
