@@ -6,7 +6,7 @@ import re
 import numpy as np
 import xxhash
 
-from memspark.llm import exact_dedup, simhash, substring_dedup
+from memspark.llm import exact_dedup, jaccard, simhash, substring_dedup
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -18,15 +18,18 @@ def key(x):
 
 def test_exact_against_brute_force(spark, docs, rows, empty):
     index = exact_dedup.fresh_index(spark, 4)
-    got = sorted(((r.doc_id, r.digest, r.keep_id, r.group_size, r.kept) for r in index.add(docs).collect()), key=str)
+    got = sorted(((r.doc_id, r.digest, r.keep_id, r.group_size, r.kept) for r in index.add(docs, name="first").collect()), key=str)
     groups = collections.defaultdict(list)
     for r in rows:
         groups[hashlib.sha256(SPACE.sub("", r[1] or "").encode()).hexdigest()].append(r)
     want = []
     for h, own in groups.items():
-        keep = min(own, key=lambda r: (-len(r[1] or ""), key(r[0])))[0]
-        want += [(r[0], h, keep, len(own), r[0] == keep) for r in own]
+        own = sorted(own, key=lambda r: (-len(r[1] or ""), key(r[0])))
+        want += [(r[0], h, own[0][0], len(own), i == 0) for i, r in enumerate(own)]
     assert got == sorted(want, key=str)
+    # the same batch once more: nothing is appended, the judgement stays
+    again = sorted(((r.doc_id, r.digest, r.keep_id, r.group_size, r.kept) for r in index.add(docs, name="first").collect()), key=str)
+    assert again == got and index.read().count() == len(groups)
     # a second batch finds everything in the index
     assert not [r for r in index.add(docs).collect() if r.kept]
     assert index.read().count() == len(groups)
@@ -86,8 +89,30 @@ def test_spanning_links_of_a_large_bucket():
     assert len(links) == len(fps) - 3
 
 
+def test_batches_meet_in_the_index(spark, docs, rows):
+    """Two halves, added one after the other, keep what the first holds and the second adds."""
+    index = exact_dedup.fresh_index(spark, 4)
+    early, late = docs.filter("doc_id < 30"), docs.filter("doc_id >= 30")
+    first = {r.digest: r.keep_id for r in index.add(early).collect()}
+    later = index.add(late).collect()
+    assert {r.digest for r in later if r.kept} == {r.digest for r in later} - set(first)
+    assert all(r.keep_id == first[r.digest] and not r.kept for r in later if r.digest in first)
+    assert any(r.digest in first for r in later)
+    index.drop()
+
+
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 40, 300, 5000):
+        for share in (0.0, 0.5, 0.8, 1.0):
+            both, x, y = (rng.integers(0, 2**64, k, dtype=np.uint64) for k in (int(n * share), n, n // 2))
+            x, y = np.unique(np.concatenate((both, x))), np.unique(np.concatenate((both, y)))
+            assert jaccard.least_difference(jaccard.sketch(x), jaccard.sketch(y)) <= len(np.setxor1d(x, y))
+    assert jaccard.least_difference(jaccard.sketch(x), jaccard.sketch(x)) == 0
+
+
 def test_near_stage_keeps_one_of_each_group(docs, rows):
-    near = simhash.near_duplicates(docs, simhash.STAGE_RADIUS, simhash.STAGE_WORDS).collect()
+    near = simhash.similar_sets(docs).collect()
     kept = simhash.without_near_duplicates(docs)
     assert kept.columns == docs.columns
     got = sorted((r.doc_id for r in kept.collect()), key=key)
