@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words, as code points, and the pattern of a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Size of a bit field that keeps rows without a partner from a shuffle.
+FIELD_BITS = 1 << 26
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -53,6 +57,24 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def in_field(x: Column, members: DataFrame) -> Column:
+    """Whether the long ``x`` may be among ``members`` (x), by a field of FIELD_BITS bits, whatever their number. No member is
+    missed; who is let through by chance is for a later join to drop."""
+    word = F.shiftright(F.col("x").bitwiseAND(F.lit(FIELD_BITS - 1)), 6).alias("w")
+    found = members.select(word, F.expr("shiftleft(1L, cast(x & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most FIELD_BITS / 64 rows
+    field = np.zeros(FIELD_BITS >> 6, np.uint64)
+    field[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    field = members.sparkSession.sparkContext.broadcast(field)
+
+    @F.arrow_udf("boolean")
+    def asked(column: pa.Array) -> pa.Array:
+        x = column.to_numpy(zero_copy_only=False).view(np.uint64)
+        hit = field.value[(x & np.uint64(FIELD_BITS - 1)) >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)
+        return pa.array(hit.astype(bool))
+
+    return asked(x)
+
+
 def rows_with(docs: DataFrame, keep: DataFrame, tag: Column) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose (doc_id, tag) is in ``keep`` (id, tag); of rows that repeat
     both, one. ``tag``, never null, is an expression over ``row``. Texts are exchanged once: the join and the choice share their keys."""

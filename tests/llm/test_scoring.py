@@ -4,9 +4,11 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from memspark.llm import quality, search, toxicity
+from memspark.llm.common import Scratch
 
 
 def folded(i):
@@ -57,6 +59,81 @@ def test_toxicity_counts_the_fold_of_the_curve(marked, spark):
     assert known > unknown
 
 
+def brute_ratios(rows):
+    """(word ratios, pair ratios, stem ratios) of (words, toxic) rows, as the docstring of the module has them."""
+    word, pair, after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for own, y in rows:
+        for v, w in zip([None, *own], own):
+            word[w, y] += 1
+            pair[v, w, y] += 1
+            after[w].add(v)
+    every = sum(word.values())
+    size = [sum(n for (_, y), n in word.items() if y == c) for c in (0, 1)]
+
+    def discounted(counts, kinds, types):
+        both = collections.Counter()
+        for (x, y), n in counts.items():
+            both[x] += n
+        once, twice = (sum(n == k for n in both.values()) for k in (1, 2))
+        d = once / (once + 2 * twice) if once else 0.5
+        return d, {x: [max(counts[x, c] - d, 0) / size[c] + d * len(both) / every * kinds[x] / types for c in (0, 1)] for x in both}
+
+    d = lambda n: sum(len(x) for x in n.values())
+    _, p = discounted(word, {w: len(v) for w, v in after.items()}, d(after))
+    stem, sharing = collections.Counter(), collections.defaultdict(set)
+    for (w, y), n in word.items():
+        stem[w[: toxicity.STEM], y] += n
+        sharing[w[: toxicity.STEM]].add(w)
+    _, ps = discounted(stem, {x: len(v) for x, v in sharing.items()}, d(sharing))
+    both = collections.Counter()
+    for (v, w, y), n in pair.items():
+        both[v, w] += n
+    once, twice = (sum(n == k for n in both.values()) for k in (1, 2))
+    d2 = once / (once + 2 * twice)
+    back = d2 * len(both) / every
+    two = {}
+    for v, w in both:
+        if v is not None and pair[v, w, 1] > 1:
+            q = [max(pair[v, w, c] - d2, 0) / max(1, word[v, c]) + back * p[w][c] for c in (0, 1)]
+            two[v, w] = math.log(q[1] / q[0])
+    ratio = lambda t: {x: math.log(q[1] / q[0]) for x, q in t.items()}
+    return ratio(p), two, ratio(ps)
+
+
+@pytest.mark.parametrize("block", [toxicity.BLOCK, 16])
+def test_toxicity_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    r = random.Random(11)
+    names = ["".join(r.choice("abcd") for _ in range(r.randint(1, 8))) for _ in range(60)]
+    rows = [([r.choice(names[: 60 if y else 40]) for _ in range(r.randint(0, 60))], y) for y in (0, 0, 1) for _ in range(40)]
+    df = spark.createDataFrame([(" ".join(w).title(), y, 1) for w, y in rows], "text string, label int, seen int").repartition(3)
+    scratch = Scratch(spark, "brute")
+    counted = scratch.write(toxicity.count_keys(df), "counts")
+    one, two, stems = brute_ratios(rows)
+    for seen in (False, True):
+        table = toxicity.RatioTable(toxicity.log_ratios(counted, seen), scratch, f"t{seen}")
+        assert (len(table.blocks) > 1) == (block == 16)
+
+        def ratio(text, which):
+            words, before, stem, _ = toxicity.keys_of(pa.array([text.encode()]))
+            return float(table.look_up({"word": words, "pair": toxicity.pair_key(words, before), "stem": stem}[which][-1:])[0])
+
+        assert sum(len(b.value[0]) for b in table.blocks) == len(one) + len(two) + len(stems)
+        for w, x in one.items():
+            assert abs(ratio(w, "word") - x) < 1e-5 and abs(ratio(w, "stem") - stems[w[: toxicity.STEM]]) < 1e-5
+        for (v, w), x in two.items():
+            assert abs(ratio(f"{v} {w}", "pair") - x) < 1e-5
+        text = rows[-1][0] or names
+        want = sum(two.get((v, w), one[w]) for v, w in zip([None, *text], text)) / len(text)
+        got = toxicity.features(pa.array([" ".join(text).encode(), b"", b"never-seen"]), table)
+        assert abs(got[0, 0] - want) < 1e-5 and not got[1:].any()
+
+
+def test_stems_end_with_a_letter():
+    stem = lambda t: toxicity.keys_of(pa.array([t.encode()]))[2][0]
+    assert stem("abcdß") == stem("abcdßx") != stem("abcdöx") and stem("ab") != stem("abc")
+
+
 def test_toxicity_without_labels(marked, spark):
     docs, labels, rows, _ = marked
     model = toxicity.train(docs, labels.limit(0))
