@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,21 +59,48 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def in_field(x: Column, members: DataFrame) -> Column:
-    """Whether the long ``x`` may be among ``members`` (x), by a field of FIELD_BITS bits, whatever their number. No member is
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker outlives its task, and other workers share the executor with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives memory back at its end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+class BitField:
+    """Whether a long may be among ``members`` (x), by a field of FIELD_BITS bits, whatever their number. No member is
     missed; who is let through by chance is for a later join to drop."""
-    word = F.shiftright(F.col("x").bitwiseAND(F.lit(FIELD_BITS - 1)), 6).alias("w")
-    found = members.select(word, F.expr("shiftleft(1L, cast(x & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most FIELD_BITS / 64 rows
-    field = np.zeros(FIELD_BITS >> 6, np.uint64)
-    field[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-    field = members.sparkSession.sparkContext.broadcast(field)
 
-    @F.arrow_udf("boolean")
-    def asked(column: pa.Array) -> pa.Array:
+    def __init__(self, members: DataFrame):
+        word = F.shiftright(F.col("x").bitwiseAND(F.lit(FIELD_BITS - 1)), 6).alias("w")
+        found = members.select(word, F.expr("shiftleft(1L, cast(x & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most FIELD_BITS / 64 rows
+        field = np.zeros(FIELD_BITS >> 6, np.uint64)
+        field[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+        self.field = members.sparkSession.sparkContext.broadcast(field)
+
+    def has(self, column: pa.Array) -> pa.Array:
         x = column.to_numpy(zero_copy_only=False).view(np.uint64)
-        hit = field.value[(x & np.uint64(FIELD_BITS - 1)) >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)
+        hit = self.field.value[(x & np.uint64(FIELD_BITS - 1)) >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)
         return pa.array(hit.astype(bool))
 
+
+def in_field(x: Column, members: DataFrame) -> Column:
+    field = BitField(members)
+
+    @F.arrow_udf("boolean")
+    def asked(column: pa.Array) -> pa.Array:
+        return field.has(column)
+
     return asked(x)
 
 

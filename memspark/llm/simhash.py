@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import jaccard
-from memspark.llm.common import Scratch, rows_with
+from memspark.llm.common import Scratch, rows_with, tidy
 
 SEED = 42
 #: The stage takes five-word shingles; it links by ``jaccard``.
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, tag long, fp long")
+    return rows.mapInArrow(tidy(run), "doc_id long, tag long, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -150,7 +150,7 @@ def near_pairs(fps: DataFrame, radius: int, parts: int | None = None) -> DataFra
     tables = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks(radius))])
     keyed = fps.select(F.explode(tables).alias("key"), "fp")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(bucket_links(radius), "a long, b long")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(tidy(bucket_links(radius)), "a long, b long")
 
 
 def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm.common import Scratch, placed
+from memspark.llm.common import Scratch, placed, tidy
 from memspark.llm.tokens import encoder, vocabulary
 
 #: Lengths in one window of the running sums.
@@ -32,7 +32,7 @@ def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 n = [len(x) for x in tokens.encode(t or "" for t in part.column(len(by) + 1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(by) + 1], pa.array(n, pa.int64())], names=[*by, "doc_id", "length"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in by], F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in by], F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def histogram(lengths: DataFrame, by: tuple = ()) -> DataFrame:
