@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SENTENCE = re.compile(r"[.!?](?=\s)")
-SPACE = re.compile(r"\s")
+#: The code points that count as white space.
+SPACES = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SENTENCE = re.compile(rf"[.!?][{SPACES}]")
+SPACE = re.compile(rf"[{SPACES}]")
 WORD = re.compile(r"\S+")
 LINK = re.compile(r"(?<!!)\[([^\]]*)\]\(([^)\s]+)\)")
 FENCE = re.compile(r"^\s*(```|~~~)")
@@ -25,18 +27,19 @@ def _last(pattern: re.Pattern, text: str, start: int, end: int) -> re.Match | No
 
 
 def chunk_text(text: str | None, most: int = 12_000, overlap: int = 400) -> list[str]:
-    """Chunks of at most ``most`` characters: cut at a paragraph, else a sentence, else white space in the second half, else hard."""
-    text, out, at = (text or "").strip(), [], 0
+    """Chunks of at most ``most`` characters: cut after the last paragraph break, unless that one is too early or straddles the
+    end, else after the last sentence, else after white space, all in the second half, else hard."""
+    text, out, at = (text or "").strip(SPACES), [], 0
     while text:
         if len(text) - at <= most:
             out.append(text[at:])
             break
         end, least = at + most, at + most // 2
-        paragraph = text.rfind("\n\n", least, end)
-        if paragraph >= 0:
+        paragraph = text.rfind("\n\n", 0, end + 2)
+        if least <= paragraph <= end - 2:
             cut = paragraph + 2
-        elif m := _last(SENTENCE, text, least, end - 1):
-            cut = m.end() + 1
+        elif m := _last(SENTENCE, text, least, end):
+            cut = m.end()
         elif m := _last(SPACE, text, least, end):
             cut = m.end()
         else:

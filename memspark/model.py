@@ -15,6 +15,7 @@ BASE = 1_700_000_000_000
 HOUR, DAY = 3_600_000, 86_400_000
 NOW = BASE + 60 * DAY
 
+#: Vectors and labels are one row an id, so that Catalyst drops their joins from every plan that does not read them.
 FACTS = f"""
 SELECT lpad(CAST(d.doc_id AS STRING), 9, '0') AS id, d.source AS entity_id, substr(d.text, 1, 80) AS title, d.text AS body,
   d.lang AS tag, CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE d.lang END AS node_type,
@@ -28,6 +29,7 @@ SELECT lpad(CAST(d.doc_id AS STRING), 9, '0') AS id, d.source AS entity_id, subs
   CAST(CASE WHEN d.doc_id % 6 = 0 THEN {BASE} + d.doc_id * {HOUR} - {DAY} END AS BIGINT) AS valid_from,
   CAST(CASE WHEN d.doc_id % 10 = 3 THEN {BASE} + d.doc_id * {HOUR} + d.doc_id % 30 * {DAY} END AS BIGINT) AS valid_to,
   CASE WHEN d.doc_id % 10 = 3 THEN lpad(CAST(d.doc_id + 20 AS STRING), 9, '0') END AS superseded_by,
+  CAST(CASE WHEN d.doc_id % 10 = 3 THEN {BASE} + d.doc_id * {HOUR} + d.doc_id % 30 * {DAY} END AS BIGINT) AS superseded_at,
   CAST(CASE WHEN d.doc_id % 23 = 0 THEN {BASE} + d.doc_id * {HOUR} + 5 * {DAY} END AS BIGINT) AS deleted_at,
   CASE WHEN d.doc_id % 13 <> 0 THEN concat('ref-', CAST(d.doc_id % 50 AS STRING)) END AS source_ref,
   CASE WHEN d.doc_id % 9 <> 0 THEN concat('hash-', CAST(d.doc_id % 37 AS STRING)) END AS source_hash,
@@ -38,7 +40,8 @@ SELECT lpad(CAST(d.doc_id AS STRING), 9, '0') AS id, d.source AS entity_id, subs
   CAST(CASE WHEN d.doc_id % 7 <> 0 THEN {NOW} - d.doc_id % 200 * 60000 END AS BIGINT) AS embedding_failed_at,
   CASE WHEN d.doc_id % 19 = 0 THEN 'not json' WHEN d.doc_id % 2 = 0 THEN concat('{{"event_id":"', CAST(d.doc_id % 100 AS STRING), '","quote":"q"}}') END AS source_pointer,
   e.embedding AS embedding
-FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
+FROM documents d LEFT JOIN (SELECT vec_id, min(embedding) AS embedding FROM embeddings GROUP BY vec_id) e ON e.vec_id = d.doc_id
+  LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id
 """
 
 EVENTS = """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,17 @@ def steps(edges: DataFrame, direction: str = "out", edge_types: list[str] | None
     return {"out": out, "in": back, "both": out.union(back)}[direction].distinct()
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, depth: int = 1, direction: str = "out", edge_types: list[str] | None = None, most: int | None = 20) -> DataFrame:
+def neighborhood(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, depth: float = 1, direction: str = "out", edge_types: list[str] | None = None, most: int | None = 20, live: DataFrame | None = None) -> DataFrame:
     """(anchor, id, depth) of what lies within 1 to 3 hops of each anchor (entity_id, id).
 
     ``nodes`` are those that may be discovered (their gates applied); a node outside is a dead
-    end. Anchors are exempt from the gates and have depth 0. Frontiers are sets, so cycles end;
-    the nearest ``most`` stay, by depth, then newest, then id.
+    end. Anchors are exempt from the gates and have depth 0; with ``live`` (entity_id, id) an anchor that is
+    not there gives no rows. A fractional depth counts a begun hop whole. Frontiers are sets, so
+    cycles end; the nearest ``most`` stay, by depth, then newest, then id.
     """
-    depth = max(1, min(3, int(depth)))
+    depth = max(1, min(3, math.ceil(depth)))
+    if live is not None:
+        anchors = anchors.join(live.select("entity_id", "id"), ["entity_id", "id"], "left_semi")
     hop = steps(edges, direction, edge_types)
     gate = nodes.select("entity_id", F.col("id").alias("to"))
     hop = hop.join(gate, ["entity_id", "to"], "left_semi")

@@ -33,8 +33,7 @@ def supersede_reason(requests: DataFrame, facts: DataFrame, now: int) -> DataFra
         .when(F.col("old_id") == F.col("new_id"), "cycle")
         .when(F.col("ne").isNull() | F.col("nd").isNotNull(), "not_found")
         .when(F.col("ne") != F.col("entity_id"), "cross_entity")
-        .when(F.col("nsb") == F.col("old_id"), "cycle")
-        .when(F.col("nsb").isNotNull(), "already_superseded")
+        .when(F.col("nsb").isNotNull(), "already_superseded")  # so every predecessor of the old one goes, and no longer cycle can close
         .when(F.col("t") <= F.col("ofrom"), "invalid_interval")
         .otherwise("ok")
     )
@@ -46,7 +45,7 @@ def supersede(facts: DataFrame, accepted: DataFrame, now: int) -> DataFrame:
     o = accepted.select(F.col("old_id").alias("id"), F.col("new_id").alias("__by"), F.col("t").alias("__t"))
     n = accepted.groupBy(F.col("new_id").alias("id")).agg(F.min("t").alias("__from"))
     rows = facts.join(o, "id", "left").join(n, "id", "left")
-    rows = rows.withColumns({"valid_to": F.coalesce("__t", "valid_to"), "superseded_by": F.coalesce("__by", "superseded_by"), "valid_from": F.coalesce("valid_from", "__from")})
+    rows = rows.withColumns({"valid_to": F.coalesce("__t", "valid_to"), "superseded_by": F.coalesce("__by", "superseded_by"), "valid_from": F.coalesce("valid_from", "__from"), "superseded_at": F.when(F.col("__by").isNotNull(), F.lit(now)).otherwise(F.col("superseded_at")).cast("long")})
     return rows.drop("__by", "__t", "__from").select(*facts.columns)
 
 
@@ -128,7 +127,7 @@ def change_feed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def grounding(quotes: Column, parts: Column, least: int = 20, most: int = 10) -> Column:
-    """grounded, missing or failed: every long quote must lie within one part of the corpus."""
+    """grounded, missing or failed: every long quote must lie within one part of the corpus. Quotes and parts come folded (``chunking.folded``)."""
     clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     kept = F.filter(F.transform(quotes, clean), lambda q: F.length(q) >= least)
     found = F.forall(kept, lambda q: F.exists(parts, lambda p: F.contains(clean(p), q)))

@@ -237,10 +237,14 @@ def list_sources(s: Store) -> DataFrame:
 
 def asked_sources(s: Store) -> DataFrame:
     refs = s.facts.select("entity_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(3))))
-    return refs.select("entity_id", F.concat(F.lit("ref-"), F.col("k").cast("string")).alias("source_ref"), F.concat(F.lit("hash-"), (F.col("k") % 37).cast("string")).alias("hash"))
+    refs = refs.select("entity_id", "k", F.concat(F.lit("ref-"), F.col("k").cast("string")).alias("source_ref"))
+    # every second source comes as it is held, the others with a hash of their own
+    held = R.latest_sources(s.facts).select("entity_id", "source_ref", F.col("source_hash").alias("held"))
+    own = F.concat(F.lit("hash-"), (F.col("k") % 37).cast("string"))
+    return refs.join(held, ["entity_id", "source_ref"], "left").select("entity_id", "source_ref", F.when(F.col("k") % 2 == 0, F.coalesce("held", own)).otherwise(own).alias("hash"))
 
 
-ASKED = "asked AS (SELECT entity_id, concat('ref-', k) AS source_ref, concat('hash-', k % 37) AS hash FROM (SELECT DISTINCT entity_id FROM facts) CROSS JOIN (SELECT unnest(range(0, 61, 3)) AS k))"
+ASKED = "asked AS (SELECT k.entity_id, concat('ref-', k) AS source_ref, CASE WHEN k % 2 = 0 THEN coalesce(h.source_hash, concat('hash-', k % 37)) ELSE concat('hash-', k % 37) END AS hash FROM (SELECT entity_id, k FROM (SELECT DISTINCT entity_id FROM facts) CROSS JOIN (SELECT unnest(range(0, 61, 3)) AS k)) k LEFT JOIN latest h ON h.entity_id = k.entity_id AND h.source_ref = concat('ref-', k))"
 
 
 @query("source_state", f"WITH {LATEST}, {ASKED} SELECT a.entity_id, a.source_ref, a.hash, CASE WHEN l.facts IS NULL THEN 'new' WHEN l.hashed = 0 THEN 'partial' WHEN l.source_hash = a.hash THEN 'current' ELSE 'changed' END AS state FROM asked a LEFT JOIN latest l ON l.entity_id = a.entity_id AND l.source_ref = a.source_ref")
@@ -260,10 +264,10 @@ def sources_left_docs(s: Store) -> DataFrame:
 
 
 def ledger(s: Store) -> DataFrame:
-    return s.tasks.select(F.substring("id", 2, 9).alias("fact_id"), F.col("priority").alias("attempts"), "created_at").filter(F.col("fact_id").cast("long") % 3 == 0)
+    return s.tasks.select(F.substring("id", 2, 9).alias("fact_id"), F.col("priority").alias("attempts"), "created_at")
 
 
-LEDGER = "ledger AS (SELECT substr(id, 2, 9) AS fact_id, priority AS attempts, created_at FROM tasks WHERE CAST(substr(id, 2, 9) AS BIGINT) % 3 = 0)"
+LEDGER = "ledger AS (SELECT substr(id, 2, 9) AS fact_id, priority AS attempts, created_at FROM tasks)"
 
 
 @query("ledger_state", f"WITH {LEDGER} SELECT l.fact_id, attempts, CASE WHEN f.id IS NULL THEN 'gone' WHEN f.{ALIVE} THEN 'live' ELSE 'deleted' END AS state FROM ledger l LEFT JOIN facts f ON f.id = l.fact_id")
@@ -281,7 +285,7 @@ def removal_due(s: Store) -> DataFrame:
     return ledger(s).filter(M.removal_due(820000600000, F.col("attempts"), F.lit(820000000000) + F.col("attempts") * 100000)).select("fact_id")
 
 
-@query("duplicate_hash_probe", f"WITH c AS (SELECT entity_id, source_hash, source_ref FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, source_hash ORDER BY updated_at, id) AS rn FROM facts WHERE {ALIVE} AND source_ref IS NOT NULL AND source_hash IS NOT NULL) t WHERE rn = 1), {ASKED} SELECT a.entity_id, a.source_ref, c.source_ref AS duplicate_of FROM asked a LEFT JOIN c ON c.entity_id = a.entity_id AND c.source_hash = a.hash AND c.source_ref <> a.source_ref")
+@query("duplicate_hash_probe", f"WITH {LATEST}, c AS (SELECT entity_id, source_hash, source_ref FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, source_hash ORDER BY updated_at, id) AS rn FROM facts WHERE {ALIVE} AND source_ref IS NOT NULL AND source_hash IS NOT NULL) t WHERE rn = 1), {ASKED} SELECT a.entity_id, a.source_ref, c.source_ref AS duplicate_of FROM asked a LEFT JOIN c ON c.entity_id = a.entity_id AND c.source_hash = a.hash AND c.source_ref <> a.source_ref")
 def duplicate_hash_probe(s: Store) -> DataFrame:
     c = R.canonical_refs(s.facts).select("entity_id", F.col("source_hash").alias("hash"), F.col("source_ref").alias("c"))
     return asked_sources(s).join(c, ["entity_id", "hash"], "left").select("entity_id", "source_ref", F.when(F.col("c") != F.col("source_ref"), F.col("c")).alias("duplicate_of"))
@@ -382,9 +386,10 @@ def monotonic_clock(s: Store) -> DataFrame:
 NORM = "trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-@query("dedup_keep_first", f"SELECT entity_id, id FROM (SELECT entity_id, id, row_number() OVER (PARTITION BY entity_id, {NORM.format(c='title')} ORDER BY id) AS rn FROM facts WHERE {ALIVE}) t WHERE rn = 1")
+@query("dedup_keep_first", f"SELECT entity_id, id FROM (SELECT entity_id, id, row_number() OVER (PARTITION BY entity_id, {NORM.format(c="concat(title, ' ', body)")} ORDER BY id) AS rn FROM facts WHERE {ALIVE}) t WHERE rn = 1")
 def dedup_keep_first(s: Store) -> DataFrame:
-    return R.keep_first(R.live_scan(s.facts).select("entity_id", "id", "title"), T.normalize_fact_text(F.col("title")), [F.col("id")]).select("entity_id", "id")
+    rows = R.live_scan(s.facts).select("entity_id", "id", "title", "body")
+    return R.keep_first(rows, F.sha2(T.normalize_fact_text(F.concat_ws(" ", "title", "body")), 256), [F.col("id")]).select("entity_id", "id")
 
 
 @query("ingest_winner", f"SELECT entity_id, id FROM (SELECT entity_id, id, row_number() OVER (PARTITION BY entity_id, {KEY} ORDER BY CASE confidence WHEN 'tentative' THEN 0 WHEN 'inferred' THEN 1 WHEN 'certain' THEN 2 ELSE -1 END DESC, created_at, id) AS rn FROM facts WHERE {ALIVE}) t WHERE rn = 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspark.functions import chunking as C
 from memspark.functions import predicates as P
 from memspark.functions import text as T
 from memspark.model import DAY, NOW, Store
@@ -147,10 +148,10 @@ def presenter_score(s: Store) -> DataFrame:
     return indexed(s).select("id", F.round(T.presenter_score(NOW, F.col("confidence"), F.col("access_count"), F.col("updated_at")), 6).alias("score"))
 
 
-@query("knn_top_k", f"WITH c AS (SELECT entity_id, id, CAST(embedding AS DOUBLE[]) AS v, CAST(id AS BIGINT) % 5 = 0 AS cand FROM facts WHERE {ALIVE} AND embedding IS NOT NULL), p AS (SELECT a.id AS cand, b.id, round(list_cosine_similarity(a.v, b.v), 5) AS cos FROM c a JOIN c b ON a.entity_id = b.entity_id WHERE a.cand AND NOT b.cand) SELECT cand, id, cos, rn FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY cos DESC, id) AS rn FROM p) t WHERE rn <= 5")
+@query("knn_top_k", f"WITH c AS (SELECT entity_id, id, CAST(embedding AS DOUBLE[]) AS v, CAST(id AS BIGINT) // 20 % 5 = 0 AS cand FROM facts WHERE {ALIVE} AND embedding IS NOT NULL), p AS (SELECT a.id AS cand, b.id, round(list_cosine_similarity(a.v, b.v), 5) AS cos FROM c a JOIN c b ON a.entity_id = b.entity_id WHERE a.cand AND NOT b.cand) SELECT cand, id, cos, rn FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY cos DESC, id) AS rn FROM p) t WHERE rn <= 5")
 def knn_top_k(s: Store) -> DataFrame:
     rows = indexed(s).filter("embedding IS NOT NULL").select("entity_id", "id", "embedding")
-    first = F.col("id").cast("long") % 5 == 0
+    first = F.floor(F.col("id").cast("long") / 20) % 5 == 0
     return S.top_neighbours(rows.filter(first), rows.filter(~first), 5).select("cand", "id", "cos", *long("rn"))
 
 
@@ -193,18 +194,15 @@ def miss_attribution(s: Store) -> DataFrame:
 
 # Graph
 
-ANCHOR = "CAST(id AS BIGINT) % 97 = 5"
-
-
 def anchors(s: Store) -> DataFrame:
-    return s.facts.filter(P.not_deleted() & (F.col("id").cast("long") % 97 == 5)).select("entity_id", "id")
+    return s.facts.filter(P.not_deleted()).select("entity_id", "id")
 
 
 def walk_sql(depth: int, direction: str, types: str = "") -> str:
     out = f"SELECT entity_id, source_id AS at, target_id AS dest FROM edges{types}"
     back = f"SELECT entity_id, target_id, source_id FROM edges{types}"
     hop = {"out": out, "in": back.replace("target_id, source_id", "target_id AS at, source_id AS dest"), "both": f"{out} UNION {back}"}[direction]
-    return f"WITH RECURSIVE node AS (SELECT entity_id, id FROM facts WHERE {ALIVE} AND confidence <> 'tentative'), hop AS ({hop}), walk AS (SELECT entity_id, id AS anchor, id, 0 AS depth FROM facts WHERE {ALIVE} AND {ANCHOR} UNION SELECT w.entity_id, w.anchor, h.dest, w.depth + 1 FROM walk w JOIN hop h ON h.entity_id = w.entity_id AND h.at = w.id JOIN node n ON n.entity_id = w.entity_id AND n.id = h.dest WHERE w.depth < {depth}) SELECT anchor, id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY anchor, id"
+    return f"WITH RECURSIVE node AS (SELECT entity_id, id FROM facts WHERE {ALIVE} AND confidence <> 'tentative'), hop AS ({hop}), walk AS (SELECT entity_id, id AS anchor, id, 0 AS depth FROM facts WHERE {ALIVE} UNION SELECT w.entity_id, w.anchor, h.dest, w.depth + 1 FROM walk w JOIN hop h ON h.entity_id = w.entity_id AND h.at = w.id JOIN node n ON n.entity_id = w.entity_id AND n.id = h.dest WHERE w.depth < {depth}) SELECT anchor, id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY anchor, id"
 
 
 def walk(s: Store, depth: int, direction: str, types: list[str] | None = None) -> DataFrame:
@@ -220,16 +218,17 @@ def recursive(sql: str) -> str:
 for _d in (1, 2, 3):
     for _dir in ("out", "in", "both"):
         query(f"neighborhood_{_d}_{_dir}", recursive(walk_sql(_d, _dir)))(lambda s, d=_d, k=_dir: walk(s, d, k))
+query("neighborhood_fractional", recursive(walk_sql(2, "out")))(lambda s: G.neighborhood(s.facts.filter(P.not_deleted() & (F.col("confidence") != "tentative")), s.edges, s.facts.select("entity_id", "id"), 1.5, "out", None, None, s.facts.filter(P.not_deleted())).select("anchor", "id", *long("depth")))
 query("neighborhood_2_typed", recursive(walk_sql(2, "both", " WHERE edge_type IN ('causes', 'depends_on')")))(lambda s: walk(s, 2, "both", ["causes", "depends_on"]))
 
 
 def chain_sql(forward: bool, depth: int) -> str:
     link = "SELECT entity_id, id AS at, superseded_by AS dest FROM facts WHERE superseded_by IS NOT NULL" if forward else "SELECT entity_id, superseded_by AS at, id AS dest FROM facts WHERE superseded_by IS NOT NULL"
-    return f"WITH link AS ({link}), walk AS (SELECT entity_id, id AS start, id, 0 AS depth FROM facts WHERE CAST(id AS BIGINT) % 40 = 3 UNION SELECT w.entity_id, w.start, l.dest, w.depth + 1 FROM walk w JOIN link l ON l.entity_id = w.entity_id AND l.at = w.id JOIN facts f ON f.entity_id = w.entity_id AND f.id = l.dest WHERE w.depth < {depth})"
+    return f"WITH link AS ({link}), walk AS (SELECT entity_id, id AS start, id, 0 AS depth FROM facts UNION SELECT w.entity_id, w.start, l.dest, w.depth + 1 FROM walk w JOIN link l ON l.entity_id = w.entity_id AND l.at = w.id JOIN facts f ON f.entity_id = w.entity_id AND f.id = l.dest WHERE w.depth < {depth})"
 
 
 def starts(s: Store) -> DataFrame:
-    return s.facts.filter(F.col("id").cast("long") % 40 == 3).select("entity_id", "id")
+    return s.facts.select("entity_id", "id")
 
 
 def links(s: Store) -> DataFrame:
@@ -255,13 +254,13 @@ def history(s: Store) -> DataFrame:
 
 def requests(s: Store) -> DataFrame:
     n = F.col("id").cast("long")
-    rows = s.facts.filter(n % 3 == 0)
-    other = F.when(n % 21 == 0, F.col("id")).when(n % 15 == 0, F.lpad((n + 1).cast("string"), 9, "0")).otherwise(F.lpad((n + 40).cast("string"), 9, "0"))
-    return rows.select("entity_id", F.col("id").alias("old_id"), other.alias("new_id"), (F.col("created_at") + F.when(n % 7 == 0, F.lit(-3 * DAY)).otherwise(F.lit(DAY))).alias("t"))
+    rows = s.facts
+    other = F.when(n % 7 == 0, F.col("id")).when(n % 5 == 0, F.lpad((n + 1).cast("string"), 9, "0")).otherwise(F.lpad((n + 40).cast("string"), 9, "0"))
+    return rows.select("entity_id", F.col("id").alias("old_id"), other.alias("new_id"), (F.col("created_at") + F.when(n % 11 == 0, F.lit(-3 * DAY)).otherwise(F.lit(DAY))).alias("t"))
 
 
-REQUESTS = f"rq AS (SELECT entity_id, id AS old_id, CASE WHEN CAST(id AS BIGINT) % 21 = 0 THEN id WHEN CAST(id AS BIGINT) % 15 = 0 THEN lpad(CAST(CAST(id AS BIGINT) + 1 AS VARCHAR), 9, '0') ELSE lpad(CAST(CAST(id AS BIGINT) + 40 AS VARCHAR), 9, '0') END AS new_id, created_at + CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN {-3 * DAY} ELSE {DAY} END AS t FROM facts WHERE CAST(id AS BIGINT) % 3 = 0)"
-SUPERSEDE = f"CASE WHEN o.id IS NULL OR o.deleted_at IS NOT NULL THEN 'not_found' WHEN o.entity_id <> rq.entity_id THEN 'cross_entity' WHEN o.superseded_by IS NOT NULL THEN 'already_superseded' WHEN o.valid_to <= {NOW} THEN 'already_expired' WHEN o.source_type = 'immutable_document' THEN 'immutable_target' WHEN old_id = new_id THEN 'cycle' WHEN n.id IS NULL OR n.deleted_at IS NOT NULL THEN 'not_found' WHEN n.entity_id <> rq.entity_id THEN 'cross_entity' WHEN n.superseded_by = old_id THEN 'cycle' WHEN n.superseded_by IS NOT NULL THEN 'already_superseded' WHEN t <= coalesce(o.valid_from, o.created_at) THEN 'invalid_interval' ELSE 'ok' END"
+REQUESTS = f"rq AS (SELECT entity_id, id AS old_id, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN id WHEN CAST(id AS BIGINT) % 5 = 0 THEN lpad(CAST(CAST(id AS BIGINT) + 1 AS VARCHAR), 9, '0') ELSE lpad(CAST(CAST(id AS BIGINT) + 40 AS VARCHAR), 9, '0') END AS new_id, created_at + CASE WHEN CAST(id AS BIGINT) % 11 = 0 THEN {-3 * DAY} ELSE {DAY} END AS t FROM facts)"
+SUPERSEDE = f"CASE WHEN o.id IS NULL OR o.deleted_at IS NOT NULL THEN 'not_found' WHEN o.entity_id <> rq.entity_id THEN 'cross_entity' WHEN o.superseded_by IS NOT NULL THEN 'already_superseded' WHEN o.valid_to <= {NOW} THEN 'already_expired' WHEN o.source_type = 'immutable_document' THEN 'immutable_target' WHEN old_id = new_id THEN 'cycle' WHEN n.id IS NULL OR n.deleted_at IS NOT NULL THEN 'not_found' WHEN n.entity_id <> rq.entity_id THEN 'cross_entity' WHEN n.superseded_by IS NOT NULL THEN 'already_superseded' WHEN t <= coalesce(o.valid_from, o.created_at) THEN 'invalid_interval' ELSE 'ok' END"
 
 
 @query("supersede_validate", f"WITH {REQUESTS} SELECT old_id, new_id, {SUPERSEDE} AS reason FROM rq LEFT JOIN facts o ON o.id = old_id LEFT JOIN facts n ON n.id = new_id")
@@ -269,10 +268,10 @@ def supersede_validate(s: Store) -> DataFrame:
     return M.supersede_reason(requests(s), s.facts, NOW).select("old_id", "new_id", "reason")
 
 
-@query("supersede_apply", f"WITH {REQUESTS}, ok AS (SELECT old_id, new_id, t FROM (SELECT rq.*, {SUPERSEDE} AS reason FROM rq LEFT JOIN facts o ON o.id = old_id LEFT JOIN facts n ON n.id = new_id) x WHERE reason = 'ok'), fr AS (SELECT new_id, min(t) AS t FROM ok GROUP BY 1) SELECT f.id, coalesce(ok.t, f.valid_to) AS valid_to, coalesce(ok.new_id, f.superseded_by) AS superseded_by, coalesce(f.valid_from, fr.t) AS valid_from FROM facts f LEFT JOIN ok ON ok.old_id = f.id LEFT JOIN fr ON fr.new_id = f.id")
+@query("supersede_apply", f"WITH {REQUESTS}, ok AS (SELECT old_id, new_id, t FROM (SELECT rq.*, {SUPERSEDE} AS reason FROM rq LEFT JOIN facts o ON o.id = old_id LEFT JOIN facts n ON n.id = new_id) x WHERE reason = 'ok'), fr AS (SELECT new_id, min(t) AS t FROM ok GROUP BY 1) SELECT f.id, coalesce(ok.t, f.valid_to) AS valid_to, coalesce(ok.new_id, f.superseded_by) AS superseded_by, coalesce(f.valid_from, fr.t) AS valid_from, CAST(CASE WHEN ok.old_id IS NOT NULL THEN {NOW} ELSE f.superseded_at END AS BIGINT) AS superseded_at FROM facts f LEFT JOIN ok ON ok.old_id = f.id LEFT JOIN fr ON fr.new_id = f.id")
 def supersede_apply(s: Store) -> DataFrame:
     ok = M.supersede_reason(requests(s), s.facts, NOW).filter("reason = 'ok'")
-    return M.supersede(s.facts, ok, NOW).select("id", "valid_to", "superseded_by", "valid_from")
+    return M.supersede(s.facts, ok, NOW).select("id", "valid_to", "superseded_by", "valid_from", "superseded_at")
 
 
 @query("expire_validate", f"WITH {REQUESTS} SELECT old_id, CASE WHEN o.id IS NULL OR o.deleted_at IS NOT NULL THEN 'not_found' WHEN o.entity_id <> rq.entity_id THEN 'cross_entity' WHEN o.valid_to IS NOT NULL THEN 'already_expired' WHEN o.source_type = 'immutable_document' THEN 'immutable_target' WHEN t <= coalesce(o.valid_from, o.created_at) THEN 'invalid_interval' ELSE 'ok' END AS reason FROM rq LEFT JOIN facts o ON o.id = old_id")
@@ -339,10 +338,10 @@ def reingest_replace(s: Store) -> DataFrame:
     return gone.agg(F.count(F.lit(1)).alias("facts_gone")).join(edges.agg(F.count(F.lit(1)).alias("edges_gone")))  # one row each
 
 
-@query("partial_append", f"WITH n AS (SELECT entity_id, id, {KEY} AS k FROM facts WHERE CAST(id AS BIGINT) % 6 = 2) SELECT n.id FROM n WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.{ALIVE} AND f.source_ref = 'ref-20' AND f.entity_id = n.entity_id AND {KEY.replace('title', 'f.title')} = n.k)")
+@query("partial_append", f"WITH n AS (SELECT entity_id, id, {KEY} AS k FROM facts) SELECT n.id FROM n WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.{ALIVE} AND f.source_ref = 'ref-20' AND f.entity_id = n.entity_id AND {KEY.replace('title', 'f.title')} = n.k)")
 def partial_append(s: Store) -> DataFrame:
     key = T.normalize_title_key(F.col("title")).alias("k")
-    new = s.facts.filter(F.col("id").cast("long") % 6 == 2).select("entity_id", "id", key)
+    new = s.facts.select("entity_id", "id", key)
     held = R.live_scan(s.facts).filter("source_ref = 'ref-20'").select("entity_id", key)
     return new.join(held, ["entity_id", "k"], "left_anti").select("id")
 
@@ -350,18 +349,33 @@ def partial_append(s: Store) -> DataFrame:
 # Maintenance
 
 
-@query("gate_decision", f"WITH c AS (SELECT entity_id, id, {NORM.format(c='title')} AS norm, {WORDS} AS words, CAST(embedding AS DOUBLE[]) AS v, CAST(id AS BIGINT) % 5 = 0 AS cand FROM facts WHERE {ALIVE} AND embedding IS NOT NULL), p AS (SELECT a.id AS cand, b.id, round(list_cosine_similarity(a.v, b.v), 5) AS cos, a.norm = b.norm AS same, CASE WHEN len(a.words) + len(b.words) = 0 THEN 0e0 ELSE len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) END AS jac FROM c a LEFT JOIN c b ON a.entity_id = b.entity_id AND NOT b.cand WHERE a.cand), r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY cos DESC, id) AS rn FROM p), k AS (SELECT cand, bool_or(coalesce(same, false)) AS exact, count(id) AS n, max(cos) FILTER (rn = 1) AS cos, max(jac) FILTER (rn = 1) AS jac FROM r WHERE rn <= 5 GROUP BY cand) SELECT cand, CASE WHEN exact THEN 'noop' WHEN n = 0 THEN 'add' WHEN cos >= 0.89 AND jac >= 0.5 THEN 'noop' WHEN cos < 0.05 THEN 'add' ELSE 'ambiguous' END AS decision FROM k")
+#: Facts come in anew: every candidate with its vector, each fourth one with the words of the next fact of its entity, marked up.
+CANDS = f"w AS (SELECT entity_id, id, CAST(id AS BIGINT) AS n, title, body, CAST(embedding AS DOUBLE[]) AS v FROM facts WHERE {ALIVE} AND embedding IS NOT NULL), cd AS (SELECT a.entity_id, a.id, CASE WHEN a.n // 100 % 4 = 0 AND b.id IS NOT NULL THEN '** ' || b.title ELSE a.title END AS title, CASE WHEN a.n // 100 % 4 = 0 AND b.id IS NOT NULL THEN b.body || ' !!' ELSE a.body END AS body, CASE WHEN a.n // 100 % 4 = 1 AND b.id IS NOT NULL THEN b.v ELSE a.v END AS v FROM w a LEFT JOIN w b ON b.entity_id = a.entity_id AND b.n = a.n + 20 WHERE a.n // 20 % 5 = 0), st AS (SELECT * FROM w WHERE n // 20 % 5 <> 0)"
+
+
+def candidates(s: Store) -> tuple[DataFrame, DataFrame]:
+    """(candidates, stored): some candidates say what a stored fact says, some have its vector."""
+    rows = indexed(s).filter("embedding IS NOT NULL").select("entity_id", "id", "embedding", "title", "body", F.col("id").cast("long").alias("n"))
+    first = F.floor(F.col("n") / 20) % 5 == 0
+    after = rows.select("entity_id", (F.col("n") - 20).alias("n"), F.concat(F.lit("** "), "title").alias("nt"), F.concat("body", F.lit(" !!")).alias("nb"), F.col("embedding").alias("ne"))
+    group = F.floor(F.col("n") / 100) % 4
+    own = rows.filter(first).join(after, ["entity_id", "n"], "left")
+    text = lambda c, d: F.when(group == 0, F.coalesce(d, c)).otherwise(F.col(c)).alias(c)
+    own = own.select("entity_id", "id", F.when(group == 1, F.coalesce("ne", "embedding")).otherwise(F.col("embedding")).alias("embedding"), text("title", "nt"), text("body", "nb"))
+    return own, rows.filter(~first)
+
+
+@query("gate_decision", f"WITH {CANDS}, p AS (SELECT a.id AS cand, b.id, round(list_cosine_similarity(a.v, b.v), 5) AS cos, {WORDS.replace('title', 'a.title')} AS aw, {WORDS.replace('title', 'b.title')} AS bw FROM cd a JOIN st b ON a.entity_id = b.entity_id), r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY cos DESC, id) AS rn FROM p), k AS (SELECT cand, cos, CASE WHEN len(aw) + len(bw) = 0 THEN 0e0 ELSE len(list_intersect(aw, bw)) / len(list_distinct(list_concat(aw, bw))) END AS jac FROM r WHERE rn = 1) SELECT cd.id AS cand, CASE WHEN EXISTS (SELECT 1 FROM facts f WHERE f.{ALIVE} AND NOT (f.embedding IS NOT NULL AND CAST(f.id AS BIGINT) // 20 % 5 = 0) AND f.entity_id = cd.entity_id AND {NORM.format(c="concat(f.title, ' ', f.body)")} = {NORM.format(c="concat(cd.title, ' ', cd.body)")}) THEN 'noop' WHEN k.cand IS NULL THEN 'add' WHEN cos >= 0.89 AND jac >= 0.5 THEN 'noop' WHEN cos < 0.3 THEN 'add' ELSE 'ambiguous' END AS decision FROM cd LEFT JOIN k ON k.cand = cd.id")
 def gate_decision(s: Store) -> DataFrame:
-    rows = indexed(s).filter("embedding IS NOT NULL").select("entity_id", "id", "embedding", "title")
-    first = F.col("id").cast("long") % 5 == 0
-    near = S.top_neighbours(rows.filter(first), rows.filter(~first), 5).select("cand", "id", "cos", "rn")
-    t = rows.select("id", T.normalize_fact_text(F.col("title")).alias("norm"), T.title_tokens(F.col("title")).alias("words"))
-    c = t.select(F.col("id").alias("cand"), F.col("norm").alias("cn"), F.col("words").alias("cw"))
-    found = near.join(t, "id").join(c, "cand")
-    top = F.col("rn") == 1
-    best = found.groupBy("cand").agg(F.max(F.col("norm") == F.col("cn")).alias("exact"), F.count("id").alias("n"), F.max(F.when(top, F.col("cos"))).alias("cos"), F.max(F.when(top, T.jaccard(F.col("words"), F.col("cw")))).alias("jac"))
-    every = rows.filter(first).select(F.col("id").alias("cand")).join(best, "cand", "left")
-    return every.select("cand", M.gate_decision(F.coalesce("exact", F.lit(False)), F.coalesce("n", F.lit(0)), F.col("cos"), F.col("jac"), 0.89, 0.05).alias("decision"))
+    cand, stored = candidates(s)
+    norm = F.sha2(T.normalize_fact_text(F.concat_ws(" ", "title", "body")), 256).alias("norm")
+    held = indexed(s).filter(F.col("embedding").isNull() | (F.floor(F.col("id").cast("long") / 20) % 5 != 0)).select("entity_id", norm).distinct().withColumn("exact", F.lit(True))
+    near = S.top_neighbours(cand.select("entity_id", "id", "embedding"), stored.select("entity_id", "id", "embedding"), 1)
+    words = stored.select("id", T.title_tokens(F.col("title")).alias("words"))
+    near = near.join(words, "id").select(F.col("cand").alias("id"), F.lit(1).alias("n"), "cos", "words")
+    rows = cand.select("entity_id", "id", norm, T.title_tokens(F.col("title")).alias("own")).join(held, ["entity_id", "norm"], "left").join(near, "id", "left")
+    jac = T.jaccard(F.col("words"), F.col("own"))
+    return rows.select(F.col("id").alias("cand"), M.gate_decision(F.coalesce("exact", F.lit(False)), F.coalesce("n", F.lit(0)), F.col("cos"), jac, 0.89, 0.3).alias("decision"))
 
 
 @query("reembed_disposition", f"SELECT id, CASE WHEN embedding_attempts >= 5 THEN 'permanent' WHEN embedding_attempts = 0 OR embedding_failed_at IS NULL OR embedding_failed_at + least(86400000e0, 60000e0 * pow(2e0, greatest(0, embedding_attempts - 1))) <= {NOW - 7_000_000} THEN 'attempt' ELSE 'defer' END AS disposition FROM facts WHERE {ALIVE}")
@@ -403,9 +417,9 @@ GROUND = "WITH x AS (SELECT id, [substr(body, 5, 40), substr(title, 1, 12)] AS q
 @query("grounding_verdict", GROUND + " SELECT id, CASE WHEN n = 0 THEN 'missing:no_evidence' WHEN len(k) = 0 THEN 'missing:evidence_too_short' WHEN len(list_filter(k, lambda s: len(list_filter(parts, lambda p: contains(p, s))) = 0)) > 0 THEN 'failed:quote_not_found' ELSE 'grounded' END AS verdict FROM z")
 def grounding_verdict(s: Store) -> DataFrame:
     n = F.col("id").cast("long")
-    q1, q2 = F.substring("body", 5, 40), F.substring("title", 1, 12)
-    quotes = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(q2)).when(n % 4 == 2, F.array(q1, q2)).otherwise(F.array(q1, F.lit("zzzz words that are in no part")))
-    return s.facts.select("id", M.grounding(quotes, F.array("body", "title")).alias("verdict"))
+    rows = s.facts.select("id", C.folded(F.col("title")).alias("title"), C.folded(F.col("body")).alias("body"), C.folded(F.substring("body", 5, 40)).alias("q1"), C.folded(F.substring("title", 1, 12)).alias("q2"))
+    quotes = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array("q2")).when(n % 4 == 2, F.array("q1", "q2")).otherwise(F.array(F.col("q1"), F.lit("zzzz words that are in no part")))
+    return rows.select("id", M.grounding(quotes, F.array("body", "title")).alias("verdict"))
 
 
 # Scalar rules
