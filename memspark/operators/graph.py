@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import predicates as P
@@ -56,6 +56,16 @@ def induced_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return edges.join(a, ["entity_id", "source_id"], "left_semi").join(b, ["entity_id", "target_id"], "left_semi")
 
 
+def adjacency(edges: DataFrame, nodes: DataFrame, order: list[Column]) -> DataFrame:
+    """Each edge once, at whichever of its ends comes first in the order of its entity's ``nodes``: at_node, and outward if that is the source."""
+    place = Window.partitionBy("entity_id").orderBy(*order)
+    placed = nodes.withColumn("pos", F.row_number().over(place)).select("entity_id", "id", "pos")
+    rows = edges.join(placed.select("entity_id", F.col("id").alias("source_id"), F.col("pos").alias("s")), ["entity_id", "source_id"])
+    rows = rows.join(placed.select("entity_id", F.col("id").alias("target_id"), F.col("pos").alias("t")), ["entity_id", "target_id"]).filter("s <> t")
+    out = F.col("s") < F.col("t")
+    return rows.withColumns({"at_node": F.when(out, F.col("source_id")).otherwise(F.col("target_id")), "outward": out}).drop("s", "t")
+
+
 def live_edge_types(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """Edges whose ends are live facts of the entity, with both ends' types."""
     live = facts.filter(P.not_deleted())
@@ -90,8 +100,6 @@ def chain(facts: DataFrame, starts: DataFrame, depth: int = 8, forward: bool = T
 
 def history(facts: DataFrame, starts: DataFrame, depth: int = 8) -> DataFrame:
     """Predecessors, self and successors of each start, with their place in time."""
-    from pyspark.sql import Window
-
     all_ids = chain(facts, starts, depth, True).select("entity_id", "start", "id").union(chain(facts, starts, depth, False).select("entity_id", "start", "id")).distinct()
     rows = all_ids.join(facts.select("entity_id", "id", "valid_from", "created_at"), ["entity_id", "id"])
     w = Window.partitionBy("start").orderBy(F.coalesce("valid_from", "created_at"), "created_at", "id")

@@ -25,24 +25,36 @@ def term_frequencies(rows: DataFrame, query: list[str], fields: dict[str, float]
     One pass over the text: tokens are counted by expressions in the scan's stage, nothing is
     exploded, and no postings are shuffled for a fixed query.
     """
-    split = {f: T.tokens(F.col(f)) for f in fields}
-    cols = rows.select("id", "entity_id", *[split[f].alias(f"__{f}") for f in fields])
+    cols = rows.select("id", "entity_id", *[T.tokens(F.col(f)).alias(f"__{f}") for f in fields])
     length = sum((F.size(f"__{f}") for f in fields), F.lit(0))
 
-    def hits(field: str, token: str) -> Column:
-        return F.size(F.filter(f"__{field}", lambda t: t.startswith(token) if prefix else t == F.lit(token)))
+    def fits(t: Column, q: str) -> Column:
+        return t.startswith(q) if prefix else t == F.lit(q)
 
+    def wanted(t: Column) -> Column:
+        out = F.lit(False)
+        for q in query:
+            out = out | fits(t, q)
+        return out
+
+    # one look at every token; the few that are left are told apart
+    cols = cols.select("id", "entity_id", length.cast("double").alias("len"), *[F.filter(f"__{f}", wanted).alias(f"__{f}") for f in fields])
+    hits = lambda f, q: F.size(F.filter(f"__{f}", lambda t: fits(t, q)))
     tfs = [sum((hits(f, q) * w for f, w in fields.items()), F.lit(0.0)).alias(f"tf_{i}") for i, q in enumerate(query)]
-    return cols.select("id", "entity_id", length.cast("double").alias("len"), *tfs)
+    return cols.select("id", "entity_id", "len", *tfs)
 
 
 def bm25(rows: DataFrame, query: str, fields: dict[str, float] | None = None, prefix: bool = True) -> DataFrame:
-    """id, entity_id, kw: BM25 with weighted fields, idf = ln((N-n+0.5)/(n+0.5)) of 1e-6 at least, over the statistics of all entities."""
+    """id, entity_id, kw: BM25 with weighted fields, idf = ln((N-n+0.5)/(n+0.5)) of 1e-6 at least, over the statistics of all entities.
+
+    The frequencies, a few numbers a row, are kept in Spark's cache (recomputed where an executor is lost): statistics, scores
+    and further rankings of the same query read the texts once. ``keyword_index`` reads no texts at all.
+    """
     q = query_tokens(query)
     fields = fields or FIELDS
     if not q:
         return rows.select("id", "entity_id", F.lit(0.0).alias("kw")).limit(0)
-    tf = term_frequencies(rows, q, fields, prefix)
+    tf = term_frequencies(rows, q, fields, prefix).persist()
     stats = tf.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"n_{i}") for i in range(len(q))])
     both = tf.join(F.broadcast(stats))  # one row
     norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))

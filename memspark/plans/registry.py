@@ -1,7 +1,8 @@
 """Every registered query of the memory engine, with its DuckDB SQL."""
 
-from memspark.plans import queries, queries_ranked, queries_text
+from memspark.plans import queries, queries_ranked, queries_state
 
 FLAGSHIP = queries_ranked.hybrid_read.__name__
-QUERIES = dict(queries_text.QUERIES)
+#: queries_state imports the other modules, which all register with queries.
+QUERIES = dict(queries.QUERIES)
 ORACLE_SQL = dict(queries.ORACLE_SQL)

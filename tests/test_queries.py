@@ -10,8 +10,7 @@ import __spark_entry__ as entry
 from memspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
-#: One in four by default; MEMSPARK_ALL_QUERIES=1 runs them all.
-CHOSEN = sorted(registry.ORACLE_SQL)[:: 1 if os.environ.get("MEMSPARK_ALL_QUERIES") else 4]
+CHOSEN = sorted(registry.ORACLE_SQL)
 
 
 def plain(v):
