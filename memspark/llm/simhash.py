@@ -223,8 +223,8 @@ def similar_sets(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """doc_id, tag, fp, root, component_id as ``near_duplicates`` gives them, but by links of every pair whose
     sets of ``words``-word shingles reach ``jaccard.SIMILARITY``; fp is a hash of the set. Wordless texts are one set.
 
-    Neighbours in the lists of candidates are linked first: the second round, of all candidates,
-    takes only pairs that are not yet connected, so that a large group costs no square of its size.
+    Shuffled neighbours in the lists of candidates are linked first: the second round, of all candidates,
+    takes only pairs that are not yet connected, so that a large group of near copies costs no square of its size.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     rows = scratch.write(jaccard.sets_of(docs, words), "sets")
@@ -235,7 +235,7 @@ def similar_sets(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     scratch.drop("sets")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.write(jaccard.possible(pairs, each), f"{name}_possible")
+        pairs = scratch.write(pairs, f"{name}_possible")
         tags = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(each.select("fp", "tag"), "fp"), f"{name}_tags")
         sets = scratch.write(jaccard.members_of(docs, tags, words), f"{name}_members")
         links = scratch.write(jaccard.alike(pairs, sets), f"{name}_links")
@@ -243,13 +243,14 @@ def similar_sets(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
             scratch.drop(f"{name}_{part}")
         return links
 
-    near = scratch.write(jaccard.candidates(shared.withColumn("root", F.col("fp")), reach=2), "near")
-    links = checked(near, "near")
+    # postings take their sets' sketches along, so that no task emits pairs that these rule out
+    shared = scratch.write(shared.join(each.select("fp", "sketch"), "fp"), "sketched")
+    scratch.drop("shared")
+    links = checked(jaccard.candidates(shared.withColumn("root", F.col("fp")), reach=3), "near")
     first = components(spark, links, scratch)
     rooted = shared.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    links = links.unionByName(checked(jaccard.candidates(rooted).join(near, ["a", "b"], "left_anti"), "rest"))
-    for name in ("near", "shared"):
-        scratch.drop(name)
+    links = links.unionByName(checked(jaccard.candidates(rooted), "rest"))
+    scratch.drop("sketched")
     return named(printed, each.select("fp", "least"), links, scratch)
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from memspark.llm import exact_dedup, jaccard, simhash, substring_dedup
@@ -173,3 +174,12 @@ def test_near_stage_links_every_pair_at_similarity_four_fifths(spark):
         want.setdefault(x, i)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(x.doc_id for x in simhash.without_near_duplicates(docs).collect()) == sorted(want.values())
+
+
+def test_sketches_in_matrices_agree():
+    rng = np.random.default_rng(9)
+    sets = sorted((np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 20, 31, 32, 33, 40, 200, 250, 300)), key=len)
+    drawn = [jaccard.sketch(x) for x in sets]
+    table = jaccard.Sketches(pa.array(drawn, pa.binary()))
+    i, j = (np.array(x) for x in zip(*[(a, b) for b in range(len(sets)) for a in range(b)]))
+    assert table.apart(i, j).tolist() == [jaccard.least_difference(drawn[a], drawn[b]) for a, b in zip(i, j)]
