@@ -10,6 +10,7 @@ that lose or gain rows are rewritten.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,8 +149,9 @@ def rewrite_shards(docs: DataFrame, path: str, shards: int = SHARDS, shard_col:
     """Brings a dataset of folders shard=K below ``path`` to ``shards`` equal shards and rewrites only the folders that change.
 
     ``docs`` is that dataset as read, with its ``shard`` column. Returns the shards rewritten (also
-    those that end empty). The new rows go to a scratch table first, so a failure leaves the old
-    files; then the changed folders are replaced.
+    those that end empty). The new folders are written whole to ``path``/_rewrite-*, which readers skip,
+    so a failure until then leaves the old files; then each changed folder is deleted and the new one renamed
+    to its place. A failure between loses nothing: what is not in place yet is below _rewrite-*.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c != shard_col]
@@ -162,11 +164,15 @@ def rewrite_shards(docs: DataFrame, path: str, shards: int = SHARDS, shard_col:
     if changed:
         jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         rows = layout.filter(F.col("shard").isin(changed)).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("shard").alias(shard_col))
-        rows = scratch.write(rows, "changed")
+        staged = f"{path}/_rewrite-{uuid.uuid4().hex}"
+        rows.write.partitionBy(shard_col).parquet(staged)
         for k in changed:
-            where = jvm.org.apache.hadoop.fs.Path(f"{path}/{shard_col}={k}")
-            where.getFileSystem(conf).delete(where, True)
-        rows.write.mode("append").partitionBy(shard_col).parquet(path)
+            new, where = (jvm.org.apache.hadoop.fs.Path(f"{root}/{shard_col}={k}") for root in (staged, path))
+            fs = where.getFileSystem(conf)
+            fs.delete(where, True)
+            if fs.exists(new) and not fs.rename(new, where):
+                raise OSError(f"{staged}/{shard_col}={k} could not be renamed to its place")
+        fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
     scratch.drop()
     return changed
 
