@@ -4,8 +4,10 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from memspark.llm import quality, search, toxicity
 from memspark.llm.common import Scratch
@@ -188,5 +190,72 @@ def test_search_against_brute_force(docs, rows, empty, monkeypatch):
     want = brute_search(rows, asked, 5)
     near = lambda c: collections.Counter((q, n, round(s, 4)) for (q, n, _, s), m in c.items() for _ in range(m))
     assert near(found) == near(want)
+    # the ids are those that have the scores, and equal scores are ranked by id, the null id last
+    every = collections.defaultdict(list)
+    for q, _, d, s in brute_search(rows, asked, len(rows)):
+        every[q, d].append(s)
+    assert all(min(abs(r.score - s) for s in every[r.query_id, r.doc_id]) < 2e-6 for r in got)
+    by = collections.defaultdict(list)
+    for r in got:
+        if r.query_id is not None:
+            by[r.query_id].append((r["rank"], -r.score, r.doc_id is None, r.doc_id or 0))
+    assert all([x[1:] for x in sorted(v)] == sorted(x[1:] for x in v) for v in by.values())
     assert search.search(empty, empty).count() == 0
     assert search.search(docs, empty).count() == 0
+
+
+def test_pruned_windows_lose_no_result(monkeypatch):
+    monkeypatch.setattr(search, "WINDOW", 4)
+    r = np.random.default_rng(3)
+    terms = [np.unique(r.zipf(1.3, r.integers(0, 30)) % 200).astype(np.int64) for _ in range(500)]
+    counts = [r.integers(1, 9, len(t)).astype(np.int32) for t in terms]
+    lengths = [int(c.sum()) for c in counts]
+    index = search.ShardIndex(list(range(500)), lengths, terms, counts, float(np.mean(lengths)))
+    assert index.windows > 100
+    for _ in range(200):
+        asked = np.unique(r.integers(0, 250, r.integers(0, 12))).astype(np.int64)
+        weights = r.random(len(asked)) * 5
+        want = []
+        for i, (t, c) in enumerate(zip(terms, counts)):
+            norm = 1.2 * (0.25 + 0.75 * lengths[i] / np.mean(lengths))
+            tf = dict(zip(t.tolist(), c.tolist()))
+            own = sum(w * tf[x] * 2.2 / (tf[x] + norm) for x, w in zip(asked.tolist(), weights) if x in tf)
+            if own > 0:
+                want.append((-own, i))
+        want = sorted(want)[:7]
+        ids, scores = index.search(asked, weights, 7)
+        assert len(ids) == len(want) and np.allclose(scores, [-s for s, _ in want], atol=2e-6)
+        sure = [k for k in range(len(want)) if all(abs(want[k][0] - want[j][0]) > 4e-6 for j in (k - 1, k + 1) if 0 <= j < len(want))]
+        assert all(ids[k] == want[k][1] for k in sure[:-1])
+
+
+def moments(groups, centre):
+    """(strength) of groups {key: [p]} about centre(key): within-group variance over the variance between groups."""
+    n, k = sum(map(len, groups.values())), len(groups)
+    if k < 2 or n <= k:
+        return 10.0
+    mean = {g: sum(v) / len(v) for g, v in groups.items()}
+    within = max(sum((p - mean[g]) ** 2 for g, v in groups.items() for p in v) / (n - k), 1e-9)
+    between = sum(len(v) * (mean[g] - centre(g)) ** 2 for g, v in groups.items()) - (k - 1) * within
+    between /= max(n - sum(len(v) ** 2 for v in groups.values()) / n, 1e-9)
+    return min(1e6, max(1.0, within / max(between, 1e-9)))
+
+
+def test_quality_posteriors_against_brute_force(marked, spark):
+    docs, labels, _, _ = marked
+    got = quality.quality(docs, labels, docs.source, F.when(docs.doc_id % 4 == 0, "a").otherwise(docs.lang)).collect()
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        hosts[r.host].append(r.p_doc)
+        paths[r.host, r.path].append(r.p_doc)
+    assert len(hosts) > 5 and len(paths) > len(hosts) and None in hosts
+    mean = sum(r.p_doc for r in got) / len(got)
+    of_host = {h: sum(v) / len(v) for h, v in hosts.items()}
+    k_host, k_path = moments(hosts, lambda _: mean), moments(paths, lambda g: of_host[g[0]])
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for r in got:
+        own, near = hosts[r.host], paths[r.host, r.path]
+        p_host = (mean * k_host + sum(own) - r.p_doc) / (k_host + len(own) - 1)
+        p_path = (p_host * k_path + sum(near) - r.p_doc) / (k_path + len(near) - 1)
+        score = 1 / (1 + math.exp(-(logit(r.p_doc) + logit(p_path) - logit(mean))))
+        assert abs(r.p_host - p_host) < 1e-6 and abs(r.p_path - p_path) < 1e-6 and abs(r.score - score) < 1e-6 and r.keep == (r.score >= 0.5)
