@@ -17,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Size of a bit field that keeps rows without a partner from a shuffle.
 FIELD_BITS = 1 << 26
+#: Spark's setting by which a query removes its shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,14 +38,21 @@ class Scratch:
 
     ``write`` stores a DataFrame as Parquet below the shared folder and returns it reread;
     ``drop`` deletes a table as soon as nothing needs it any more. Tables behind a returned
-    (lazy) DataFrame stay for the life of the shared folder.
+    (lazy) DataFrame stay for the life of the shared folder. The shuffle files of a write go with
+    it: the table stands for them from then on.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        conf = self.spark.conf
+        held = conf.get(SHUFFLE_CLEANUP, None)
+        conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        finally:
+            conf.unset(SHUFFLE_CLEANUP) if held is None else conf.set(SHUFFLE_CLEANUP, held)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str = "") -> None:
@@ -51,13 +60,6 @@ class Scratch:
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         where.getFileSystem(conf).delete(where, True)
 
-    def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished jobs: it acts when the JVM collects garbage."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def give_back() -> None:
     """Returns freed memory to the system: a Python worker outlives its task, and other workers share the executor with it."""

@@ -183,24 +183,20 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     pieces = scratch.write(cut(texts, width), "stretches")
     shared = pieces.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key")
     shared = scratch.write(shared, "keys")
-    scratch.release()
     # with whole sequences of one stretch together, the smallest document stands for it
     found = scratch.write(pieces.join(shared, "key"), "candidates")
     scratch.drop("stretches")
-    scratch.release()
     least = found.groupBy("whole", "key").agg(F.min("doc").alias("least"))
     judged = scratch.write(found.join(least, ["whole", "key"]).select("doc", "tag", "start", "n", (F.col("least") < F.col("doc")).alias("gone")), "judged")
     scratch.drop("candidates")
     rest = judged.filter("not gone").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     single = scratch.write(windows(texts.join(rest, ["doc", "tag"]), width), "windows")
-    scratch.release()
     first = single.groupBy("key", "hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key", "hash", "least")
     late = single.join(first, ["key", "hash"]).filter("least < doc").select("doc", "tag", "start", F.lit(1).alias("n"))
     gone = judged.filter("gone").select("doc", "tag", "start", "n").unionByName(late)
     spans = scratch.write(gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
     scratch.drop("windows")
     scratch.drop("judged")
-    scratch.release()
     out = without(texts.join(spans, ["doc", "tag"], "left"), width)
     return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), "intervals")
 
