@@ -112,23 +112,75 @@ def with_floors(rows: DataFrame, floors: dict[str, int], k: int, order: list[Col
     return cut.orderBy(F.col("reserved").desc(), *order).limit(k)
 
 
+#: Vectors in a block: a task holds one block of each side and their products.
+BLOCK = 4096
+
+
 def top_neighbours(candidates: DataFrame, stored: DataFrame, k: int) -> DataFrame:
-    """The k stored vectors most like each candidate's, within an entity: (cand, id, cos, rn)."""
-    pairs = candidates.alias("c").join(stored.alias("s"), "entity_id")
-    scored = pairs.select("entity_id", F.col("c.id").alias("cand"), F.col("s.id").alias("id"), F.round(T.cosine(F.col("c.embedding"), F.col("s.embedding")), 5).alias("cos"))
+    """The k stored vectors most like each candidate's, within an entity: (cand, id, cos, rn). Vectors compare over the shorter length.
+
+    Both sides are cut into blocks of about BLOCK vectors by their entity's counts, and a task multiplies a candidate block with a stored
+    one: it gives k rows a candidate, so what is shuffled grows with blocks, never with the square of an entity. Ids of candidates are unique.
+    """
+    sides = {"c": candidates, "s": stored}
+    counts = None
+    for name, df in sides.items():
+        n = df.groupBy("entity_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"n_{name}"))
+        counts = n if counts is None else counts.join(n, "entity_id")
+    cut = {name: df.select("entity_id", "id", "embedding").join(counts, "entity_id").withColumn(f"b_{name}", F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int")) for name, df in sides.items()}
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = cut["c"].withColumn("b_s", every("n_s")).select("entity_id", "b_c", "b_s", "id", "embedding")
+    # names of its own: both sides can come from one table
+    right = cut["s"].withColumn("b_c", every("n_c")).select(*[F.col(c).alias(f"s_{c}") for c in ("entity_id", "b_c", "b_s", "id", "embedding")])
+
+    def run(c, s):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        if len(c) and len(s):
+            s = s.rename(columns={"s_id": "id", "s_embedding": "embedding"})
+            c, s = ({size: g for size, g in df.groupby(df["embedding"].map(len))} for df in (c, s))
+            for size, mine in c.items():
+                found = []
+                for other, theirs in s.items():
+                    n = min(size, other)
+                    a, b = (np.array([v[:n] for v in df["embedding"]], "float64").reshape(len(df), n) for df in (mine, theirs))
+                    norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+                    cos = np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms != 0)
+                    found.append((np.round(cos, 5), theirs["id"].to_numpy()))
+                cos, ids = np.concatenate([x for x, _ in found], 1), np.concatenate([x for _, x in found])
+                by_id = np.argsort(ids, kind="stable")
+                cos, ids = cos[:, by_id], ids[by_id]
+                for cand, row in zip(mine["id"], cos):
+                    best = np.argsort(-row, kind="stable")[:k]
+                    out.append(pd.DataFrame({"cand": cand, "id": ids[best], "cos": row[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"cand": [], "id": [], "cos": []}).astype({"cand": str, "id": str})
+
+    keys = ["entity_id", "b_c", "b_s"]
+    best = left.groupBy(*keys).cogroup(right.groupBy(*[f"s_{c}" for c in keys])).applyInPandas(run, "cand string, id string, cos double")
     w = Window.partitionBy("cand").orderBy(F.col("cos").desc(), "id")
-    return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+    return best.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
 def similar_titles(rows: DataFrame, threshold: float = 0.5, least: int = 3) -> DataFrame:
-    """Pairs (a, b) of an entity whose titles' words overlap: Jaccard of the threshold, titles of ``least`` words. Joined on words, not on entities."""
-    t = rows.select("entity_id", "id", T.title_tokens(F.col("title")).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= least)
-    words = t.select("entity_id", "id", "n", F.explode("words").alias("word"))
-    a, b = words.alias("a"), words.alias("b")
-    same = (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id"))
-    shared = a.join(b, same).groupBy(F.col("a.entity_id").alias("entity_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
-    score = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return shared.withColumn("jaccard", F.round(score, 6)).filter(score >= threshold)
+    """Pairs (a, b) of an entity whose titles' words overlap: Jaccard of the threshold, titles of ``least`` words.
+
+    Titles meet on their rarest words alone: of n words, the n - ceil(threshold n) + 1 that the fewest titles of the entity hold. A pair
+    that reaches the threshold shares one of them, so common words make no pairs; whole sets decide.
+    """
+    t = rows.select("entity_id", "id", T.title_tokens(F.col("title")).alias("words")).filter(F.size("words") >= least)
+    words = t.select("entity_id", "id", F.explode("words").alias("word"))
+    often = words.groupBy("entity_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = words.join(often, ["entity_id", "word"]).groupBy("entity_id", "id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
+    size = F.size("r")
+    # the small number keeps a product such as 0.7 x 10 from being rounded up by its binary error
+    prefix = F.slice("r", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
+    heads = ranked.select("entity_id", "id", F.col("r.word").alias("words"), F.explode(F.transform(prefix, lambda x: x["word"])).alias("word"))
+    a, b = heads.alias("a"), heads.alias("b")
+    met = a.join(b, ["entity_id", "word"]).filter("a.id < b.id")
+    score = T.jaccard(F.col("a.words"), F.col("b.words"))
+    return met.filter(score >= threshold).select("entity_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(score, 6).alias("jaccard")).distinct()
 
 
 def metrics(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
