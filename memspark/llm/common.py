@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: The white space that separates words, as code points, and the pattern of a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The least number of salts of a group, and the rows that may share one before there are more.
+SPREAD = 64
+WINDOW_ROWS = 1 << 20
 #: Size of a bit field that keeps rows without a partner from a shuffle.
 FIELD_BITS = 1 << 26
 #: Spark's setting by which a query removes its shuffle files at its end.
@@ -118,6 +121,11 @@ def rows_with(docs: DataFrame, keep: DataFrame, tag: Column) -> DataFrame:
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
+def spread_of(rows: int) -> int:
+    """Salts for a group of so many rows: about WINDOW_ROWS rows share one, so a window stays as large as it is when the input grows."""
+    return max(SPREAD, -(-rows // WINDOW_ROWS))
+
+
 def salt_of(spread: int, *cols: Column) -> Column:
     """0 to spread-1, by content alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(spread)).cast("int")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from memspark.llm.common import SPACES, Scratch, rows_with
 
+#: About 150 MB of an index.
+BUCKET_ROWS = 1 << 20
 INDEX = "digest string, keep_id long, keep_length long, batch string"
 
 
@@ -34,10 +36,10 @@ class DigestIndex:
     """A bucketed, sorted table of digests that grows by batches.
 
     ``buckets`` is fixed for the life of a table; size it so that a bucket of the final
-    table fits a task (about 256 MB).
+    table fits a task (about 256 MB). None: sized by the first batch, for BUCKET_ROWS digests a bucket.
     """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = 32):
         self.spark, self.table, self.buckets = spark, table, buckets
 
     def append(self, rows: DataFrame) -> None:
@@ -66,6 +68,8 @@ class DigestIndex:
         groups = batch.groupBy("digest").agg(best.alias("b"), F.count(F.lit(1)).alias("group_size"))
         groups = groups.select("digest", (-F.col("b.minus")).alias("keep_id"), F.col("b.length").alias("keep_length"), (-F.col("b.row")).alias("keep_row"), "group_size")
         groups = scratch.write(groups, "groups")
+        if self.buckets is None:
+            self.buckets = max(32, -(-groups.count() // BUCKET_ROWS))
         fresh = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         self.append(fresh.withColumn("batch", F.lit(name)))
         held = self.read().select("digest", "keep_id", (F.col("batch") == name).alias("own"))
@@ -80,7 +84,7 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def fresh_index(spark: SparkSession, buckets: int = 32) -> DigestIndex:
+def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
 
 

@@ -14,14 +14,13 @@ from decimal import Decimal, getcontext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memspark.llm.common import SPACES, WORD, Scratch, placed, salt_of
+from memspark.llm.common import SPACES, WORD, Scratch, placed, salt_of, spread_of
 
 #: The weights of the sources in their order, repeating; the mix's size against the input's; the most passes over a source.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 PASSES = 2
 BLOCK = 1024
-SPREAD = 64
 CELLS = 4096
 RUN = 65_536
 
@@ -97,7 +96,9 @@ def schedule(targets: DataFrame, block: int, scratch: Scratch) -> DataFrame:
 def shuffled_streams(sized: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds s, source_size, target and ``start``: the words before the document in its source's shuffled order."""
     keyed = sized.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    keyed = scratch.write(keyed.withColumn("salt", salt_of(SPREAD, F.col("doc_id"), F.col("size"))), "keyed")
+    keyed = scratch.write(keyed, "keyed")
+    most = keyed.groupBy("s").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    keyed = keyed.withColumn("salt", salt_of(spread_of(most), F.col("doc_id"), F.col("size")))
     order = [F.xxhash64(F.lit(1), F.col("doc_id"), F.col("size")), F.col("doc_id"), F.col("size")]
     return placed(keyed, ["s"], "salt", order, F.col("size"), "start")
 

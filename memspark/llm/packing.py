@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm.common import Scratch, placed, salt_of, tidy
+from memspark.llm.common import Scratch, placed, salt_of, spread_of, tidy
 from memspark.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
 END = 0
-SPREAD = 64
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
@@ -137,7 +136,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple = ("doc_id",
         raise ValueError(f"lengths must lie in 1 to {capacity}")
     rules = sorted(packing_plan(histogram, capacity))
     plan = np.array(rules or [(0,) * 6], np.int64)
-    numbered = placed(pieces.withColumn("__salt", salt_of(SPREAD, *[F.col(c) for c in order])), [end], "__salt", [F.col(c) for c in order], F.lit(1), "__number")
+    spread = spread_of(max(histogram.values(), default=0))
+    numbered = placed(pieces.withColumn("__salt", salt_of(spread, *[F.col(c) for c in order])), [end], "__salt", [F.col(c) for c in order], F.lit(1), "__number")
     shared = spark.sparkContext.broadcast(plan)
 
     @F.arrow_udf("long")

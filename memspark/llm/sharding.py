@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm.common import Scratch, placed, salt_of
+from memspark.llm.common import Scratch, placed, salt_of, spread_of
 
 SHARDS = 8
-SPREAD = 64
 #: Size classes: two to an octave.
 CLASSES = 64
 
@@ -123,11 +122,13 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, id_col: st
     size = byte_size(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), *[F.col(f"`{c}`") for c in payload])
     scale = F.least(F.floor(F.log2("size") * 2), F.lit(CLASSES - 1)).cast("int")
-    rows = rows.withColumn("__block", F.col("old_shard") * CLASSES + scale).withColumn("__salt", salt_of(SPREAD, F.col("doc_id"), F.col("size"), F.col("text_crc32")))
+    rows = rows.withColumn("__block", F.col("old_shard") * CLASSES + scale)
     rows = scratch.write(rows, "rows")
     # one row for each old shard and size class
     blocks = {int(b): (int(n), int(s)) for b, n, s in rows.groupBy("__block").agg(F.count(F.lit(1)), F.sum("size")).toLocalIterator()}
     rules = np.array(sorted(transfer_plan(blocks, shards)) or [(0,) * 5], np.int64)
+    spread = spread_of(max((n for n, _ in blocks.values()), default=0))
+    rows = rows.withColumn("__salt", salt_of(spread, F.col("doc_id"), F.col("size"), F.col("text_crc32")))
     numbered = placed(rows, ["__block"], "__salt", [F.col("doc_id"), F.col("size"), F.col("text_crc32")], F.lit(1), "__number")
     names = ["doc_id", "size", "text_crc32", "old_shard", *payload]
     shared = spark.sparkContext.broadcast(rules)

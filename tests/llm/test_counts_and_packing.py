@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from memspark.llm import mixing, packing, sharding, token_counts, tokens
+from memspark.llm import common, mixing, packing, sharding, token_counts, tokens
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +15,13 @@ def library():
     return Tokenizer.from_file(tokens.vocabulary())
 
 
+@pytest.fixture(params=[(64, 1 << 20), (1, 3)])
+def salts(request, monkeypatch):
+    """Groups in the salts of small tables, and in more salts the more rows they have."""
+    monkeypatch.setattr(common, "SPREAD", request.param[0])
+    monkeypatch.setattr(common, "WINDOW_ROWS", request.param[1])
+
+
 def test_encoder_gives_the_librarys_ids(library):
     own, r = tokens.Encoder(tokens.vocabulary()), random.Random(2)
     letters = "aAzZ'sStTdDrRvVeEmMlL09_ .,!?-ÀßéÑøÆ½²ªºµ·­\x85\xa0ŉǆſȹ\n\t[]^\\|#&~\x1c漢Σ<|>İ"
@@ -24,7 +31,7 @@ def test_encoder_gives_the_librarys_ids(library):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
-def test_packing_round_trip(docs, rows, empty, library):
+def test_packing_round_trip(docs, rows, empty, library, salts):
     got = packing.pack_documents(docs, capacity=128).collect()
     sequences = collections.defaultdict(list)
     for p in got:
@@ -87,7 +94,7 @@ def test_token_counts(docs, rows, empty, library):
     assert token_counts.limits_report(token_counts.histogram(token_counts.token_lengths(empty, tokens.vocabulary()))).count() == 0
 
 
-def test_sharding(spark, docs, rows, empty, tmp_path):
+def test_sharding(spark, docs, rows, empty, tmp_path, salts):
     from pyspark.sql import functions as F
 
     old = F.when(F.col("source").isNull(), 9).otherwise(F.substring("source", 2, 1).cast("int"))
@@ -137,7 +144,7 @@ def levels(sizes, weights=(5, 2, 1), share=1.5):
     return {s: 2.0 * sizes[s] if s in capped else level * weight[s] for s in names}
 
 
-def test_mixing(docs, rows, empty):
+def test_mixing(docs, rows, empty, salts):
     import re
 
     documents, pieces = mixing.mix(docs, block=16)
