@@ -13,6 +13,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,7 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces that a worker remembers; more than that and it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Code points below this are Latin, or common signs.
 LATIN = 0x23A
 
@@ -51,6 +52,17 @@ def latin(pattern: str) -> str:
     return out
 
 
+class Codes(dict):
+    """piece -> its number; a piece that is not known yet is encoded when it is asked for, so that lookups stay in C."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = self.encode(piece)
+        return n
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,23 +75,27 @@ class Encoder:
         self.quick = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"] and before[0]["behavior"] == "Removed" and before[0]["invert"] and not before[1]["use_regex"] and not before[1]["add_prefix_space"]
         if self.quick:
             self.pattern = re.compile(latin(before[0]["pattern"]["Regex"]))
-            starts = "".join({x["content"][0] for x in rules["added_tokens"]})
+            self.special = "".join({x["content"][0] for x in rules["added_tokens"]})
             # no code point beyond Latin, none that its lower case lengthens, no start of a special token
-            self.other = re.compile(rf"[^\x00-{chr(LATIN - 1)}]|[İ{re.escape(starts)}]")
-        self.letters = byte_letters()
+            self.other = re.compile(rf"[^\x00-{chr(LATIN - 1)}]|[İ{re.escape(self.special)}]")
+        self.letters, self.model = byte_letters(), self.whole.model
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.flat, self.lengths = [], []
+        self.code = Codes(self.piece)
+        self.flat, self.lengths = array("I"), array("I")
         self.ids, self.sizes, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def piece(self, s: str) -> int:
-        ids = [t.id for t in self.whole.model.tokenize("".join(map(self.letters.__getitem__, s.encode())))]
-        self.code[s] = n = len(self.lengths)
-        self.flat += ids
+        plain = s.isascii() and s.isprintable()  # such bytes stand for themselves
+        ids = [t.id for t in self.model.tokenize(s if plain else "".join(map(self.letters.__getitem__, s.encode())))]
+        self.flat.extend(ids)
         self.lengths.append(len(ids))
-        return n
+        return len(self.lengths) - 1
+
+    def beyond(self, text: str) -> bool:
+        """Whether the text needs the library."""
+        return any(c in text for c in self.special) if text.isascii() else bool(self.other.search(text))
 
     def settle(self) -> None:
         """The remembered pieces as arrays."""
@@ -91,17 +107,14 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """The ids of each text as uint32."""
         out: list[np.ndarray | None] = []
-        codes: list[list[int] | None] = []
+        codes: list[np.ndarray | None] = []
         hard: list[tuple[int, str]] = []
         if len(self.lengths) > REMEMBERED:
             self.forget()
         for i, text in enumerate(texts):
-            if self.quick and not self.other.search(text) and unicodedata.is_normalized("NFC", text):
-                get, found = self.code.get, []
-                for s in self.pattern.findall(text.lower()):
-                    n = get(s)
-                    found.append(self.piece(s) if n is None else n)
-                codes.append(found)
+            if self.quick and not self.beyond(text) and unicodedata.is_normalized("NFC", text):
+                found = self.pattern.findall(text.lower())
+                codes.append(np.fromiter(map(self.code.__getitem__, found), np.int64, len(found)))
             else:
                 codes.append(None)
                 hard.append((i, text))
@@ -110,7 +123,6 @@ class Encoder:
         flat, lengths, starts = self.ids, self.sizes, self.starts
         for i, own in enumerate(codes):
             if own is not None:
-                own = np.array(own, np.int64)
                 n = lengths[own]
                 at = np.repeat(starts[own] - (np.cumsum(n) - n), n)
                 out[i] = flat[at + np.arange(len(at))] if len(at) else np.empty(0, np.uint32)
