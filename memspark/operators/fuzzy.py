@@ -19,22 +19,27 @@ def edits(word: str) -> int:
     return min(MOST_EDITS, int(len(word) * FUZZY + 0.5))
 
 
-def match_weight(term: Column, word: str) -> Column:
-    """What a match of the indexed ``term`` counts for a query word; null where it does not match."""
+def match_weight(term: Column, word: str, by_bytes: bool = False) -> Column:
+    """What a match of the indexed ``term`` counts for a query word; null where it does not match. Edits are of code points, or of UTF-8 bytes."""
     n, most = F.length(term), edits(word)
     weight = F.when(term == word, F.lit(1.0)).when(term.startswith(word), PREFIX_WEIGHT * n / (n + 0.3 * (n - len(word))))
     if most:
-        near = F.when(F.abs(n - len(word)) <= most, F.levenshtein(term, F.lit(word), most))
+        units, other, size = term, word, n
+        if by_bytes:  # a character for each byte
+            size, other = F.octet_length(term), word.encode().decode("iso-8859-1")
+            units = F.when(size == n, term).otherwise(F.decode(F.encode(term, "UTF-8"), "ISO-8859-1"))
+        near = F.when(F.abs(size - len(other)) <= most, F.levenshtein(units, F.lit(other), most))
         weight = weight.when(near >= 0, FUZZY_WEIGHT * n / (n + near))
     return weight
 
 
-def fuzzy_scores(rows: DataFrame, query: str, boosts: dict[str, float] | None = None) -> DataFrame:
+def fuzzy_scores(rows: DataFrame, query: str, boosts: dict[str, float] | None = None, by_bytes: bool = False) -> DataFrame:
     """(id, entity_id, score) of rows that match any word of the query: sums over fields and matched words of weighted BM25+,
     times the number of the query's words that match. Rows with equal scores are for the caller to order by id.
 
     Words that match nothing of the query end in the scan's own stage; only matches are shuffled. A field's length is its number of
-    different pieces, as they stand. Null fields count for nothing, an empty query gives no rows.
+    different pieces, as they stand. Null fields count for nothing, an empty query gives no rows. With ``by_bytes`` words are as far apart
+    as their UTF-8 bytes (DuckDB's distance), else as their code points.
     """
     boosts = boosts or BOOSTS
     words = [w for w in (p.lower() for p in re.split(r"[\n\r\s!-#%-*,-/:;?@\[-\]_{}]+", query)) if w]
@@ -47,7 +52,7 @@ def fuzzy_scores(rows: DataFrame, query: str, boosts: dict[str, float] | None =
     def fits(t: Column) -> Column:
         out = F.lit(False)
         for w in dict.fromkeys(words):
-            out = out | match_weight(t, w).isNotNull()
+            out = out | match_weight(t, w, by_bytes).isNotNull()
         return out
 
     # a few words a row are left, so statistics and scores read the texts once
@@ -63,7 +68,7 @@ def fuzzy_scores(rows: DataFrame, query: str, boosts: dict[str, float] | None =
     for f, b in boosts.items():
         boost = F.when(F.col("field") == f, float(b)).otherwise(boost)
     scored = scored.withColumn("raw", raw * boost)
-    per = scored.groupBy("id", "entity_id").agg(*[F.sum(F.col("raw") * match_weight(F.col("term"), w)).alias(f"s_{i}") for i, w in enumerate(words)])
+    per = scored.groupBy("id", "entity_id").agg(*[F.sum(F.col("raw") * match_weight(F.col("term"), w, by_bytes)).alias(f"s_{i}") for i, w in enumerate(words)])
     score = sum((F.coalesce(f"s_{i}", F.lit(0.0)) for i in range(len(words))), F.lit(0.0))
     matched = sum((F.col(f"s_{i}").isNotNull().cast("int") for i in range(len(words))), F.lit(0))
     return per.select("id", "entity_id", F.round(score * matched, 6).alias("score"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,20 @@ def test_strict_graphs_are_refused_whole(spark):
     assert {(x.source_ref, x.status, x.nodes_written, x.edges_written) for x in report.collect()} == {("r1", "written", 1, 2), ("r2", "violation", 0, 0), ("!", "invalid_ref", 0, 0)}
     assert [(x.id, x.node_type, x.body) for x in new.collect()] == [("n1", "T", "")]
     assert {(x.id, x.edge_type) for x in links.collect()} == {("l1", "Links"), ("l2", "other")}
+
+
+def test_fuzzy_search_counts_edits_as_its_sql_does(spark, tmp_path):
+    for name in ("embeddings", "labels", "events", "orders", "pages"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    texts = ["stüt", "Stat ist", "ein stast", "stät, stats", "thíng", "thin erthíon", "ërthion", "ßtat", "sta\u0080", "nothing"]
+    rows = [(i + 1, t, "de", "src1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.id, r.entity_id): r.score for r in registry.QUERIES["fuzzy_search"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    for name in ("documents", "embeddings", "labels", "events", "orders", "pages"):
+        at = tmp_path / f"{name}.parquet"
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}{'/*.parquet' if at.is_dir() else ''}'")
+    want = {(i, e): s for i, e, s in c.execute(registry.ORACLE_SQL["fuzzy_search"]).fetchall()}
+    assert len(want) > 2 and got == pytest.approx(want)
+    held = spark.createDataFrame([("1", "e", "stüt", None, "")], "id string, entity_id string, title string, body string, tag string")
+    assert (fuzzy.fuzzy_scores(held, "stat").count(), fuzzy.fuzzy_scores(held, "stat", by_bytes=True).count()) == (1, 0)
