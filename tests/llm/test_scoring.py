@@ -259,3 +259,39 @@ def test_quality_posteriors_against_brute_force(marked, spark):
         p_path = (p_host * k_path + sum(near) - r.p_doc) / (k_path + len(near) - 1)
         score = 1 / (1 + math.exp(-(logit(r.p_doc) + logit(p_path) - logit(mean))))
         assert abs(r.p_host - p_host) < 1e-6 and abs(r.p_path - p_path) < 1e-6 and abs(r.score - score) < 1e-6 and r.keep == (r.score >= 0.5)
+
+
+def test_search_writes_nothing_for_a_query_and_shard(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    r = random.Random(5)
+    texts = [(i, " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("abcdefgh") for _ in range(40))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+
+    def stages():
+        got = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {got.apply(i).stageId(): got.apply(i).shuffleWriteBytes() for i in range(got.size())}
+
+    def written(shard_rows):
+        before = stages()
+        rows = {tuple(x) for x in search.search(docs, docs.filter("doc_id % 2 = 0"), 3, shard_rows=shard_rows).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return rows, sum(v for k, v in stages().items() if k not in before)
+
+    few, many = written(200), written(4)
+    assert few[0] == many[0] and len(few[0]) == 600
+    assert 0 < many[1] < 2 * few[1]
+
+
+def test_held_results_of_other_shards_prune_and_merge():
+    r = np.random.default_rng(4)
+    terms = [np.unique(r.zipf(1.3, r.integers(1, 30)) % 200).astype(np.int64) for _ in range(900)]
+    counts = [r.integers(1, 9, len(t)).astype(np.int32) for t in terms]
+    lengths = [int(c.sum()) for c in counts]
+    whole, parts = [[search.ShardIndex(list(range(a, b)), lengths[a:b], terms[a:b], counts[a:b], 20.0) for a, b in cuts] for cuts in ([(0, 900)], [(0, 300), (300, 310), (310, 900)])]
+    for _ in range(100):
+        asked = np.unique(r.integers(0, 250, r.integers(0, 12))).astype(np.int64)
+        weights, kept = r.random(len(asked)) * 5, None
+        for part in parts:
+            kept = part.search(asked, weights, 7, kept)
+        want = whole[0].search(asked, weights, 7)
+        assert np.allclose(kept[1], want[1], atol=2e-6) and (np.unique(want[1]).size < len(want[1]) or kept[0].tolist() == want[0].tolist())
