@@ -15,7 +15,7 @@ partner are written, and only the texts of pairs that pass both bounds are turne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +77,9 @@ def shingle_order(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarra
     return x[at], n[at]
 
 
-def sets_of(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tag (a hash of the text), fp (a hash of the set), size, sketch and prefix of every row. A task gives sketch and prefix
-    of a set once: those of copies are empty."""
+def sets_of(docs: DataFrame, words: int, bits_of: Callable[[np.ndarray], int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, tag (a hash of the text), fp (a hash of the set), size, bits (a long, ``bits_of`` the set's hashes), sketch and prefix of every row.
+    A task gives bits, sketch and prefix of a set once: those of copies are null or empty."""
     order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, words, text_col))
 
     def prefix(own: np.ndarray) -> np.ndarray:
@@ -96,17 +96,18 @@ def sets_of(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
             for part in slices(batch, 2):
                 own = list(shingle_sets(part.column(2), words))
                 fps = [set_print(x) for x in own]
-                first, sketches = [], []
+                first, sketches, bits = [], [], []
                 for x, fp in zip(own, fps):
                     first.append([] if fp in seen else prefix(x))
                     sketches.append(b"" if fp in seen else sketch(x))
+                    bits.append(None if fp in seen else bits_of(x))
                     seen.add(fp)
                 sizes = pa.array([len(x) for x in own], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64()), sizes, pa.array(sketches, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "tag", "fp", "size", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64()), sizes, pa.array(bits, pa.int64()), pa.array(sketches, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "tag", "fp", "size", "bits", "sketch", "prefix"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("t"))
-    return rows.mapInArrow(tidy(run), "doc_id long, tag long, fp long, size int, sketch binary, prefix array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, tag long, fp long, size int, bits long, sketch binary, prefix array<long>")
 
 
 def set_print(own: np.ndarray) -> int:

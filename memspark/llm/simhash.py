@@ -26,8 +26,8 @@ from memspark.llm import jaccard
 from memspark.llm.common import Scratch, rows_with, tidy
 
 SEED = 42
-#: The stage takes five-word shingles; it links by ``jaccard``.
-STAGE_WORDS = 5
+#: The stage takes five-word shingles; what its fingerprints' radius does not reach is linked by ``jaccard``.
+STAGE_WORDS, STAGE_RADIUS = 5, 4
 ONE = np.uint64(1)
 LANES = np.uint64(0x0101010101010101)
 #: A-Z to a-z, byte by byte.
@@ -219,17 +219,35 @@ def named(printed: DataFrame, distinct: DataFrame, links: DataFrame, scratch: Sc
     return printed.join(names, "fp").select("doc_id", "tag", "fp", "root", "component_id")
 
 
-def similar_sets(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
+def fingerprint_pairs(each: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of the sets ``each`` (fp, size, bits) that connect all whose fingerprints, ``bits``, are within the radius. Empty sets have no partner."""
+    own = each.filter("size > 0")
+    first = scratch.write(own.groupBy("bits").agg(F.min("fp").alias("first")), "prints")
+    same = own.select("fp", "bits").join(first, "bits").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    links = near_pairs(first.select(F.col("bits").alias("fp")), radius)
+    for c in ("a", "b"):
+        links = links.join(first.select(F.col("bits").alias(c), F.col("first").alias(f"of_{c}")), c)
+    pairs = same.unionByName(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def signed_print(hashes: np.ndarray) -> int:
+    return signed(fingerprint(hashes))
+
+
+def similar_sets(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS) -> DataFrame:
     """doc_id, tag, fp, root, component_id as ``near_duplicates`` gives them, but by links of every pair whose
     sets of ``words``-word shingles reach ``jaccard.SIMILARITY``; fp is a hash of the set. Wordless texts are one set.
 
-    Shuffled neighbours in the lists of candidates are linked first: the second round, of all candidates,
+    Sets whose fingerprints are within the radius meet in a table of the covering family and are checked on whole sets; most pairs
+    at the least similarity differ in more bits, so an exact way for the rest follows. Shuffled neighbours in its lists of candidates
+    are linked along with the fingerprints' pairs: the second round, of all candidates,
     takes only pairs that are not yet connected, so that a large group of near copies costs no square of its size.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.write(jaccard.sets_of(docs, words), "sets")
+    rows = scratch.write(jaccard.sets_of(docs, words, signed_print), "sets")
     shared = scratch.write(jaccard.shared_postings(rows), "shared")
-    each = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("tag").alias("tag"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
+    each = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("tag").alias("tag"), F.max("size").alias("size"), F.max("bits").alias("bits"), F.max("sketch").alias("sketch"))
     each = scratch.write(each, "each")
     printed = scratch.write(rows.select("doc_id", "tag", "fp"), "printed")
     scratch.drop("sets")
@@ -246,7 +264,9 @@ def similar_sets(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     # postings take their sets' sketches along, so that no task emits pairs that these rule out
     shared = scratch.write(shared.join(each.select("fp", "sketch"), "fp"), "sketched")
     scratch.drop("shared")
-    links = checked(jaccard.candidates(shared.withColumn("root", F.col("fp")), reach=3), "near")
+    near = jaccard.candidates(shared.withColumn("root", F.col("fp")), reach=3)
+    links = checked(fingerprint_pairs(each, radius, scratch).unionByName(near).distinct(), "near")
+    scratch.drop("prints")
     first = components(spark, links, scratch)
     rooted = shared.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     links = links.unionByName(checked(jaccard.candidates(rooted), "rest"))

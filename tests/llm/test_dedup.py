@@ -183,3 +183,26 @@ def test_sketches_in_matrices_agree():
     table = jaccard.Sketches(pa.array(drawn, pa.binary()))
     i, j = (np.array(x) for x in zip(*[(a, b) for b in range(len(sets)) for a in range(b)]))
     assert table.apart(i, j).tolist() == [jaccard.least_difference(drawn[a], drawn[b]) for a, b in zip(i, j)]
+
+
+def test_near_stage_links_by_fingerprints(spark, monkeypatch):
+    """Without any other candidates, sets whose fingerprints are within the radius are linked, and no pair below the similarity."""
+    r = random.Random(6)
+    texts = []
+    for _ in range(30):
+        w = [f"w{r.randint(0, 9999)}" for _ in range(r.randint(150, 300))]
+        texts += [" ".join(w), " ".join([*w, "end"]), " ".join(["start", *w, "end"])]
+    texts += ["one two three four five six", "one two three four five seven"]  # three bits may differ, half of the shingles do
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    full = sorted(x.doc_id for x in simhash.without_near_duplicates(docs).collect())
+    every = jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda *a, **b: every(*a, **b).limit(0))
+    bits = [simhash.fingerprint(next(jaccard.shingle_sets(pa.array([t.encode()]), 5))) for t in texts]
+    sets, label = five_word_sets(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bits[i] ^ bits[j]).bit_count() <= 4 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    kept = sorted(x.doc_id for x in simhash.without_near_duplicates(docs).collect())
+    assert kept == sorted({x: i for i, x in reversed(list(enumerate(label)))}.values()) and len(kept) < len(texts) - 30
+    assert set(full) <= set(kept) and len(full) == 32
