@@ -1,36 +1,41 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word models, one of the toxic and one of the ordinary training texts, share their
-backoff. A word w after the word v has
-
-    P(w | v) = max(c(v w) - D2, 0) / c(v) + b2 * P(w),    P(w) = max(c(w) - D, 0) / C + b * S(w)
-
-with the class's own counts c, and for both classes the same continuation share
-S(w) = N(. w) / N(. .) (after how many words w occurs in either class), the same discounts
-n1 / (n1 + 2 n2) from how many words and pairs occur once and twice, and the same backoff weights
-b = D N(w) / C and b2 = D2 N(. .) / C, from the counts of both. So what is rare is smoothed to the
-shared share and weighs little in the comparison, and an unknown word weighs exactly nothing.
-A pair that the toxic class does not repeat backs off in both classes. Inflected and
-compound words back off to their stems (the first STEM bytes, to the end of a letter), which
-have a model of the same kind over the words that share a stem. The difference of the log-likelihoods,
-normalised by length, is taken over the whole text and over its most toxic passage; a logistic
-curve turns both into a score.
-
-Counts of the tables that score cover every labelled row of the training part; the curve is
-fitted with tables that leave out the fold it is fitted on. Counts are kept in Spark under
-64-bit keys of their own (the previous word within a word's pairs under 32 bits). The table of log ratios
-grows with the corpus: it is shipped in blocks of at most BLOCK keys, and a scoring task
-holds one block at a time.
+Two interpolated Kneser-Ney models, one of the toxic and one of the ordinary training texts. All that a model
+counts is its class's own: for a word w after the word v
+
+    P(w | v) = (max(c(v w) - D2, 0) + D2 N(v .) P(w)) / c(v .),    P(w) alone where v leads no pair
+    P(w)     = (max(N(. w) - D1, 0) + D1 T / V) / N(. .)
+
+with c the counts of pairs, N(v .) and N(. w) the numbers of different words after v and before w (the start of a text
+is one before), T the class's words, and each D = n1 / (n1 + 2 n2) from how many pairs (D2) or continuation counts (D1) of
+the class are 1 and 2. No pair is left out. V, the words of either class, is all that the models share: both are
+distributions over it, and a word beyond it weighs nothing. A text's first word has P(w). Inflected and compound
+words have stems (the first STEM bytes, to the end of a letter) with a model of the same kind: c(s) backs off to N(s), in
+how many words of the class the stem occurs. The difference of the log-likelihoods, normalised by length, is taken
+over the whole text and over its most toxic passage; a logistic curve turns both into a score.
+
+Counts of the model that scores cover every labelled row of the training part; the curve is fitted with counts that
+leave out the fold it is fitted on. Counts are kept in Spark under 64-bit keys of their own (the previous
+word under 32 bits) in lanes, ranges of the keys. Texts are scored in parts of about PART bytes: each asks every lane for
+the counts of its distinct keys and gets them back, so no task holds more than a part or a lane and nothing is
+broadcast. Texts go in up to ROUNDS rounds, as what is asked takes disk.
+
+``ToxicityModel.score`` gives the same scores as a Column, for a few texts: it ships the whole table in blocks.
+``count_keys``, ``log_ratios`` and ``RatioTable`` are an older model whose classes share their backoff and whose table has only
+pairs that the toxic class repeats; nothing but its test uses it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from memspark.llm.bytecode import column_words, mixed, slices, spans
 from memspark.llm.common import Scratch, give_back, in_field, tidy
@@ -48,6 +53,10 @@ FEATURES = 6
 CURVE_ROWS = 20_000
 #: Distinct pairs that a counting task holds, and bytes of text that it reads at once.
 FLUSH, SLICE = 800_000, 1 << 20
+#: Bytes of text in a part, words asked of a lane at once, rounds at most, and the bytes from which there is one more.
+PART, LANE_KEYS, ROUNDS, ROUND_BYTES = 4 << 20, 1 << 20, 8, 1 << 26
+#: Numbers that a tally has for all rows, and for those with seen = 1.
+TALLY = 32
 COUNTS = ["toxic", "ordinary", "toxic_seen", "ordinary_seen"]
 #: The two lowest bits of a key: what it is a key of. SUMS is the key of the counts of pairs.
 WORD, PAIR, STEM_OF, SUMS = 0, 1, 2, 3
@@ -101,45 +110,50 @@ def unpacked(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return (x >> 32).astype(np.int32), [x >> 8 * i & 255 for i in range(4)]
 
 
+def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Sorted by (key, before), counts added up."""
+    cols = [np.concatenate(x) for x in zip(*parts)]
+    at = np.lexsort((cols[1], cols[0]))
+    cols = [c[at] for c in cols]
+    new = np.flatnonzero(np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))) if len(at) else at
+    return [cols[0][new], cols[1][new], *summed(cols[2:], new)]
+
+
+def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(key, packed) rows of (key, before, counts)."""
+    key, before, *n = cols
+    while len(key):  # counts above 255 take more rows than one
+        rows = packed(before, [np.minimum(c, 255) for c in n])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rows)], names=["key", "packed"])
+        left = np.flatnonzero(np.max(n, axis=0) > 255)
+        key, before, n = key[left], before[left], [np.maximum(c[left] - 255, 0) for c in n]
+
+
+def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, packed) rows of (text, label, seen) rows: of each word after its previous one, and of each stem in its words."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        for part in slices(batch, 0, SLICE):
+            words, before, stems, first = keys_of(part.column(0))
+            of, seen = (np.repeat(np.asarray(part.column(i), np.int32), np.diff(first)) for i in (1, 2))
+            n = [of, 1 - of, of * seen, (1 - of) * seen]
+            if len(words):
+                held.append(merged([[words, before, *n], [stems, short(words), *n]]))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                held = [merged(held)]
+                if len(held[0][0]) > FLUSH // 2:
+                    yield from out(held[0])
+                    held = []
+    if held:
+        yield from out(merged(held))
+
+
 def count_keys(rows: DataFrame) -> DataFrame:
     """(key, of, before, toxic, ordinary, toxic_seen, ordinary_seen, kinds, kinds_seen) from (text, label, seen) rows: the counts of each
     word (kinds: after how many words it occurs) and stem (kinds: how many words share it), and of each pair that the toxic class
     repeats (of the word ``of`` after ``before``), in either class and in those of its rows with seen = 1. Under the key SUMS
     the columns hold how many pairs occur once, and twice, in all and in the rows with seen = 1; kinds the number of pairs."""
 
-    def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-        """Sorted by (key, before), counts added up."""
-        cols = [np.concatenate(x) for x in zip(*parts)]
-        at = np.lexsort((cols[1], cols[0]))
-        cols = [c[at] for c in cols]
-        new = np.flatnonzero(np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))) if len(at) else at
-        return [cols[0][new], cols[1][new], *summed(cols[2:], new)]
-
-    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, before, *n = cols
-        while len(key):  # counts above 255 take more rows than one
-            rows = packed(before, [np.minimum(c, 255) for c in n])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rows)], names=["key", "packed"])
-            left = np.flatnonzero(np.max(n, axis=0) > 255)
-            key, before, n = key[left], before[left], [np.maximum(c[left] - 255, 0) for c in n]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            for part in slices(batch, 0, SLICE):
-                words, before, stems, first = keys_of(part.column(0))
-                of, seen = (np.repeat(np.asarray(part.column(i), np.int32), np.diff(first)) for i in (1, 2))
-                n = [of, 1 - of, of * seen, (1 - of) * seen]
-                if len(words):
-                    held.append(merged([[words, before, *n], [stems, short(words), *n]]))
-                if sum(len(x[0]) for x in held) > FLUSH:
-                    held = [merged(held)]
-                    if len(held[0][0]) > FLUSH // 2:
-                        yield from out(held[0])
-                        held = []
-        if held:
-            yield from out(merged(held))
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last pair, which may go on in the next batch
 
@@ -220,6 +234,228 @@ def log_ratios(counted: DataFrame, seen: bool = False) -> DataFrame | None:
     return one.unionByName(two).select("key", F.col("r").cast("float").alias("r"))
 
 
+def context_key(before: np.ndarray) -> np.ndarray:
+    return tagged(mixed(before.view(np.uint32).astype(np.uint64), 3), SUMS)
+
+
+def lane_of(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending keys, counts[key, i]), counts of equal keys added up."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    at = np.argsort(keys, kind="stable")
+    keys, counts = keys[at], counts[at]
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else at
+    return keys[new], np.add.reduceat(counts, new, axis=0) if len(new) else counts
+
+
+def class_counts(rows: DataFrame, bits: int) -> DataFrame:
+    """(lane, keys, counts, tally) from (text, label, seen) rows: what each class counts, in 2^bits lanes. ``keys`` are longs, ``counts``
+    ints, four columns of pairs (COUNTS: in either class, and in its rows with seen = 1) and eight of other keys (COUNTS, and
+    the same of different words: before a word, after a context, in a stem). A key may have several rows, which add up. ``tally``
+    (in rows of lane -1, to be added up): for seen 0 and 1 and either class, how many pairs, continuation counts of words,
+    counts and continuation counts of stems are 1, and 2; the sums and numbers of words' and of stems' counts; then the words
+    and the stems of either class."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list = []
+        others: list = []
+        tally = np.zeros((2, TALLY), np.int64)
+        size, held, last = 0, None, None  # the last pair and the last word, which may go on in the next batch
+
+        def lanes(key: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+            cuts = np.searchsorted(lane_of(key, bits), np.arange((1 << bits) + 1))
+            for lane, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                if e > s:
+                    yield lane, key[s:e].tobytes(), counts[s:e].T.astype(np.int32).tobytes(), None
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for part in (pairs, others):
+                if part:
+                    found = list(lanes(*added(part)))
+                    part.clear()
+                    for i in range(0, len(found), 64):
+                        yield table_rows(found[i : i + 64])
+
+        def told(cols: list[np.ndarray], end: bool) -> int:
+            """Takes whole pairs; the last word only at the end."""
+            nonlocal last
+            key, before, n = cols[0].view(np.uint64), cols[1], np.column_stack(cols[2:])
+            some = (n > 0).astype(np.int64)
+            pair = np.flatnonzero((key & np.uint64(3) == WORD) & (before != 0))
+            pairs.append((pair_key(key[pair], before[pair]), n[pair]))
+            others.append(added([(context_key(before[pair]), np.column_stack((n[pair], some[pair])))]))
+            for seen in (0, 1):
+                for y in (0, 1):
+                    c = n[pair, 2 * seen + y]
+                    tally[seen, 2 * y : 2 * y + 2] += [np.count_nonzero(c == 1), np.count_nonzero(c == 2)]
+            starts = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
+            word, sums = key[starts], np.add.reduceat(np.column_stack((n, some)), starts, axis=0)
+            if last is not None:
+                if last[0][0] == word[0]:
+                    sums[0] += last[1][0]
+                else:
+                    word, sums = np.concatenate((last[0], word)), np.concatenate((last[1], sums))
+            last, keep = (word[-1:], sums[-1:]), len(word) - (not end)
+            word, sums = word[:keep], sums[:keep]
+            for kind, at in ((WORD, 4), (STEM_OF, 16)):
+                own = sums[word & np.uint64(3) == kind]
+                for seen in (0, 1):
+                    t = tally[seen]
+                    for y in (0, 1):
+                        c, m = own[:, 2 * seen + y], own[:, 4 + 2 * seen + y]
+                        into = at + (4 if kind == WORD else 8) * y
+                        values = [np.count_nonzero(m == 1), np.count_nonzero(m == 2), m.sum(), np.count_nonzero(m)]
+                        if kind == STEM_OF:
+                            values += [np.count_nonzero(c == 1), np.count_nonzero(c == 2), c.sum(), np.count_nonzero(c)]
+                        t[into : into + len(values)] += values
+                    t[12 if kind == WORD else 13] += np.count_nonzero(own[:, 2 * seen] + own[:, 2 * seen + 1])
+            others.append((word, sums))
+            return len(pairs[-1][0]) + len(others[-1][0]) + len(others[-2][0])
+
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            before, counts = unpacked(cols[1])
+            cols = merged([x for x in (held, [cols[0], before, *counts]) if x])  # signed, as the rows are sorted
+            held = [c[-1:] for c in cols]
+            if len(cols[0]) > 1:
+                size += told([c[:-1] for c in cols], False)
+                if size > FLUSH:
+                    yield from given()
+                    size = 0
+        if held:
+            told(held, True)
+            yield from given()
+            yield table_rows([(-1, b"", b"", tally.reshape(-1).tolist())])
+
+    def table_rows(found: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types)], names=["lane", "keys", "counts", "tally"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.select(F.col("text").cast("binary").alias("text"), "label", "seen").mapInArrow(tidy(read), "key long, packed long")
+    found = found.repartition(parts, "key").sortWithinPartitions("key", "packed")
+    return found.mapInArrow(tidy(add), "lane int, keys binary, counts binary, tally array<long>")
+
+
+class Law:
+    """What a model knows besides its counts: for each class (toxic, ordinary) discounts, sums and numbers of kinds."""
+
+    def __init__(self, tally: np.ndarray):
+        discounts = lambda x: np.array([discount(*y) for y in x.tolist()])
+        word, stem = tally[4:12].reshape(2, 4), tally[16:32].reshape(2, 8)
+        self.pair, self.word = discounts(tally[:4].reshape(2, 2)), discounts(word[:, :2])
+        self.words, self.types = word[:, 2].astype(float), word[:, 3].astype(float)
+        self.known, self.stems = float(tally[12]), float(tally[13])
+        self.kind, self.stem = discounts(stem[:, :2]), discounts(stem[:, 4:6])
+        self.kinds, self.kind_types = stem[:, 2].astype(float), stem[:, 3].astype(float)
+        self.stem_sum, self.stem_types = stem[:, 6].astype(float), stem[:, 7].astype(float)
+        self.both = bool(self.words.min() > 0)  # rows of both classes
+
+
+def laws(counted: DataFrame) -> tuple[Law, Law]:
+    """Of all rows, and of those with seen = 1."""
+    tally = counted.filter("lane < 0").select(*[F.sum(F.col("tally")[i]).alias(f"n{i}") for i in range(2 * TALLY)]).first()
+    return tuple(Law(x) for x in np.array([x or 0 for x in tally], np.int64).reshape(2, TALLY))
+
+
+def wanted(words: np.ndarray, before: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct keys, place of the key of each word, pair, context and stem among them)."""
+    every, at = np.unique(np.concatenate((words, pair_key(words, before), context_key(before), stems)), return_inverse=True)
+    return every, at.reshape(4, -1)
+
+
+def law_ratios(counts: np.ndarray, at: np.ndarray, before: np.ndarray, law: Law) -> tuple[np.ndarray, np.ndarray]:
+    """log P_toxic - log P_ordinary of each word after the one before it, and of each stem, from counts[key, (toxic, ordinary, different words: toxic, ordinary)]."""
+    if not law.both:
+        return np.zeros(len(before)), np.zeros(len(before))
+    counts = counts.astype(np.float64)
+    less = lambda c, d: np.maximum(c - d, 0)
+    word, pair, context, stem = (counts[x] for x in at)
+    p = (less(word[:, 2:], law.word) + law.word * law.types / law.known) / law.words
+    led = (context[:, :2] > 0) & (before != 0)[:, None]
+    after = (less(pair[:, :2], law.pair) + law.pair * context[:, 2:] * p) / np.maximum(context[:, :2], 1)
+    p = np.log(np.where(led, after, p))
+    s = (less(stem[:, 2:], law.kind) + law.kind * law.kind_types / law.stems) / law.kinds
+    s = np.log((less(stem[:, :2], law.stem) + law.stem * law.stem_types * s) / law.stem_sum)
+    return np.where(word[:, 2:].any(axis=1), p[:, 0] - p[:, 1], 0), np.where(stem.any(axis=1), s[:, 0] - s[:, 1], 0)
+
+
+def law_features(column: pa.Array, look_up: Callable[[np.ndarray], np.ndarray], law: Law) -> np.ndarray:
+    """``of_rows`` of a column by what ``look_up`` gives for ascending distinct keys."""
+    words, before, stems, first = keys_of(column)
+    every, at = wanted(words, before, stems)
+    return of_rows(*law_ratios(look_up(every), at, before, law), first)
+
+
+def lane_table(keys: list[bytes], counts: list[bytes], seen: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending keys, counts[key, (toxic, ordinary, different words: toxic, ordinary)]) of a lane's rows."""
+    parts = [(np.zeros(0, np.uint64), np.zeros((0, 4), np.int64))]
+    for k, c in zip(keys, counts):
+        key = np.frombuffer(k, np.uint64)
+        n = np.frombuffer(c, np.int32).reshape(-1, len(key))
+        own = np.zeros((len(key), 4), np.int64)
+        own[:, :2] = n[2 * seen : 2 * seen + 2].T
+        if len(n) == 8:
+            own[:, 2:] = n[4 + 2 * seen : 6 + 2 * seen].T
+        parts.append((key, own))
+    return added(parts)
+
+
+def found_in(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The counts of ``asked``, 0 for keys that are not there."""
+    if not len(keys):
+        return np.zeros((len(asked), 4), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where((keys[at] == asked)[:, None], counts[at], 0)
+
+
+def measured(rows: DataFrame, counted: DataFrame, bits: int, law: Law, seen: int, scratch: Scratch, name: str) -> DataFrame:
+    """(row, x: features) of (row, text) rows. Writes the rows with their parts to ``scratch`` as ``name``."""
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, used = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for piece in slices(batch, 1, PART):
+                size = piece.column(1).nbytes
+                if used and used + size > PART:
+                    part, used = part + 1, 0
+                used += size
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(len(piece), part))], names=["row", "text", "part"])
+
+    def ask(texts: pa.Table) -> pa.Table:
+        column = texts.column("text").combine_chunks()
+        every, _ = wanted(*keys_of(column)[:3])
+        lane = lane_of(every, bits)
+        starts = np.flatnonzero(np.concatenate(([True], lane[1:] != lane[:-1]))) if len(lane) else np.zeros(0, np.int64)
+        keys = [x.tobytes() for x in np.split(every, starts[1:])] if len(lane) else []
+        give_back()
+        return pa.table([pa.array(lane[starts], pa.int32()), pa.array([texts.column("part")[0].as_py()] * len(keys), pa.int64()), pa.array(keys, pa.binary())], names=["lane", "part", "keys"])
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        keys, counts = lane_table(own.column("keys").to_pylist(), own.column("counts").to_pylist(), seen)
+        got = [found_in(keys, counts, np.frombuffer(x.as_py(), np.uint64)).T.tobytes() for x in asked.column("keys")]
+        give_back()
+        return pa.table([asked.column("part"), asked.column("lane"), pa.array(got, pa.binary())], names=["part", "lane", "counts"])
+
+    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        order = np.argsort(answers.column("lane").to_numpy())
+        got = [np.frombuffer(answers.column("counts")[i].as_py(), np.int64).reshape(4, -1).T for i in order.tolist()]
+        x = law_features(texts.column("text").combine_chunks(), lambda _: np.concatenate(got) if got else np.zeros((0, 4)), law)
+        give_back()
+        return pa.table([texts.column("row"), pa.array(list(x), pa.list_(pa.float64()))], names=["row", "x"])
+
+    own = StructType([StructField("row", rows.schema["row"].dataType)])
+    texts = scratch.write(rows.select("row", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).mapInArrow(tidy(parted), StructType([*own, StructField("text", BinaryType()), StructField("part", LongType())])), name)
+    asked = texts.select("part", "text").groupBy("part").applyInArrow(ask, "lane int, part long, keys binary")
+    got = asked.groupBy("lane").cogroup(counted.filter("lane >= 0").select("lane", "keys", "counts").groupBy("lane")).applyInArrow(answer, "part long, lane int, counts binary")
+    return texts.groupBy("part").cogroup(got.groupBy("part")).applyInArrow(finish, StructType([*own, StructField("x", ArrayType(DoubleType()))]))
+
+
 class RatioTable:
     """Log ratios under their keys, in sorted blocks that are broadcast one by one; a key that is not there has ratio NaN."""
 
@@ -261,6 +497,25 @@ class RatioTable:
             block.unpersist()
 
 
+class CountTable:
+    """The counts of all lanes, in sorted blocks that are broadcast one by one and held one at a time."""
+
+    def __init__(self, counted: DataFrame, bits: int):
+        self.blocks, self.bits = [], bits
+        for lane in range(1 << bits):
+            own = counted.filter(F.col("lane") == lane).select("keys", "counts").toArrow()  # about LANE_KEYS keys
+            self.blocks.append(counted.sparkSession.sparkContext.broadcast(lane_table(own.column("keys").to_pylist(), own.column("counts").to_pylist(), 0)))
+
+    def look_up(self, asked: np.ndarray) -> np.ndarray:
+        cuts, out = np.searchsorted(lane_of(asked, self.bits), np.arange(len(self.blocks) + 1)), [np.zeros((0, 4), np.int64)]
+        for block, s, e in zip(self.blocks, cuts[:-1].tolist(), cuts[1:].tolist()):
+            if e > s:
+                out.append(found_in(*block.value, asked[s:e]))
+                if len(self.blocks) > 1:
+                    vars(block).pop("_value", None)
+        return np.concatenate(out)
+
+
 def features(column: pa.Array, table: RatioTable) -> np.ndarray:
     """``row_features`` of the column, a few megabytes of text at a time."""
     parts = [row_features(column.slice(a, n), table) for a, n in spans(column, 2 * SLICE)]
@@ -276,9 +531,13 @@ def row_features(column: pa.Array, table: RatioTable) -> np.ndarray:
     found = table.look_up(every)[at]
     one, r, by_stem = found[:n], found[n : 2 * n], found[2 * n :]
     r = np.where(np.isnan(r) | (before == 0), one, r)
-    r, by_stem = (np.nan_to_num(x).astype(np.float64) for x in (r, by_stem))
+    return of_rows(*(np.nan_to_num(x).astype(np.float64) for x in (r, by_stem)), first)
+
+
+def of_rows(r: np.ndarray, by_stem: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The features of rows from the log ratios of their words, as ``row_features`` has them."""
     total, clear, clear_stem = (np.concatenate(([0.0], np.cumsum(x))) for x in (r, np.clip(r - CLEAR, 0, STRONG - CLEAR), np.clip(by_stem - CLEAR, 0, STRONG - CLEAR)))
-    out = np.zeros((len(column), FEATURES))
+    out = np.zeros((len(first) - 1, FEATURES))
     for i, (s, e) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
         if e > s:
             w, strong, stem = min(PASSAGE, e - s), max(0.0, (clear[e] - clear[s]) / (e - s)), max(0.0, (clear_stem[e] - clear_stem[s]) / (e - s))
@@ -301,22 +560,41 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class ToxicityModel:
-    """The table of ratios and the curve; ``score`` gives a Column."""
+    """The counts, the laws and the curve; ``scored`` for tables, ``score`` for a Column."""
 
-    def __init__(self, table: RatioTable, curve: np.ndarray):
-        self.table, self.curve = table, curve
+    def __init__(self, counted: DataFrame, bits: int, law: Law, curve: np.ndarray, scratch: Scratch):
+        self.counted, self.bits, self.law, self.curve, self.scratch, self.table = counted, bits, law, curve, scratch, None
+
+    def drop(self) -> None:
+        """Deletes the table of counts."""
+        self.scratch.drop()
 
     def score(self, text: Column) -> Column:
-        """0 to 1, higher for likelier toxic, of whole texts; null counts as empty."""
-        table, curve = self.table, self.curve
+        """0 to 1, higher for likelier toxic, of whole texts; null counts as empty. For few texts: the whole table is shipped."""
+        self.table = self.table or CountTable(self.counted, self.bits)
+        table, law, curve = self.table, self.law, self.curve
 
         @F.arrow_udf("double")
-        def scored(column: pa.Array) -> pa.Array:
-            x = features(column, table)
+        def of_texts(column: pa.Array) -> pa.Array:
+            x = np.concatenate([law_features(column.slice(a, n), table.look_up, law) for a, n in spans(column, PART)] or [np.zeros((0, FEATURES))])
             give_back()
             return pa.array(1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30))))
 
-        return scored(text.cast("binary"))
+        return of_texts(text.cast("binary"))
+
+    def scored(self, rows: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+        """(row, score) of (row, text) rows, with the scores of ``score``, as ``keep`` leaves them."""
+        scratch = Scratch(rows.sparkSession, "toxicity_scores")
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        rounds, out = min(ROUNDS, 1 + size // ROUND_BYTES), []
+        linear = reduce(lambda s, i: s + F.col("x")[i] * float(self.curve[i]), range(FEATURES), F.lit(float(self.curve[-1])))
+        score = 1 / (1 + F.exp(-F.least(F.greatest(linear, F.lit(-30.0)), F.lit(30.0))))
+        for k in range(rounds):
+            own = rows.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k) if rounds > 1 else rows
+            x = measured(own, self.counted, self.bits, self.law, 0, scratch, f"texts{k}")
+            out.append(scratch.write(keep(x.select("row", score.alias("score"))), f"scores{k}"))
+            scratch.drop(f"texts{k}")
+        return reduce(DataFrame.unionAll, out)
 
 
 def fold(doc_id: Column) -> Column:
@@ -339,39 +617,38 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     # texts without a label stay in their scan; labels grow with the corpus: the same sort-merge join at every size, never a broadcast
     own = own.filter(in_field(F.xxhash64("id"), marks.select(F.xxhash64("id").alias("x")))).select("id", F.coalesce("text", F.lit("")).alias("text"))
     rows = scratch.write(own.join(marks.hint("merge"), "id"), "labelled")
-    counted = scratch.write(count_keys(rows.withColumn("seen", (fold(F.col("id")) != 4).cast("int"))), "counts")
-    early = RatioTable(log_ratios(counted, True), scratch, "early")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = (size // 6 // LANE_KEYS).bit_length()
+    counted = scratch.write(class_counts(rows.withColumn("seen", (fold(F.col("id")) != 4).cast("int")), bits), "counts")
+    late, early = laws(counted)
     seen = rows.filter(fold(F.col("id")) == 4).select("id", "text", "label")
     hash_of = F.xxhash64("id", "text")
     bound = seen.select(hash_of.alias("x")).orderBy("x").offset(CURVE_ROWS).limit(1).collect()
     sample = seen.filter(hash_of < bound[0][0]) if bound else seen
-
-    @F.arrow_udf("array<double>")
-    def measured(column: pa.Array) -> pa.Array:
-        return pa.array(list(features(column, early)), pa.list_(pa.float64()))
-
-    got = sample.select(measured(F.col("text").cast("binary")).alias("x"), "label").toArrow()  # at most CURVE_ROWS rows
+    sample = sample.select(F.struct("label").alias("row"), "text")
+    got = measured(sample, counted, bits, early, 1, scratch, "sample").select("x", F.col("row.label").alias("label")).toArrow()  # at most CURVE_ROWS rows
     y = got.column("label").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         curve = np.array([0.0] * FEATURES + [float(np.clip(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), -30, 30)) if len(y) else 0.0])
     else:
         curve = fit_curve(np.array(got.column("x").to_pylist()), y)
-    early.drop()
-    table = RatioTable(log_ratios(counted), scratch, "table")
-    scratch.drop()
-    return ToxicityModel(table, curve)
+    for name in ("marks", "labelled", "sample"):
+        scratch.drop(name)
+    return ToxicityModel(counted, bits, late, curve, scratch)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows whose score is below the threshold, with all their columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     model = train(docs, labels)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("score", model.score(F.col("row.text"))).filter(F.col("score") < threshold)
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    kept = model.scored(rows, lambda x: x.filter(F.col("score") < threshold))
+    model.drop()
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), model.score(F.col("text")).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = model.scored(docs.select(F.struct("doc_id").alias("row"), "text")).select("row.doc_id", "score")
+    model.drop()
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

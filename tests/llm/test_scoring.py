@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memspark.llm import quality, search, toxicity
-from memspark.llm.common import Scratch
+from memspark.llm.common import Scratch, held
 
 
 def folded(i):
@@ -131,6 +131,94 @@ def test_toxicity_against_brute_force(spark, monkeypatch, block):
         assert abs(got[0, 0] - want) < 1e-5 and not got[1:].any()
 
 
+def own_kneser_ney(rows):
+    """(ratio of w after v, ratio of a stem) of (words, toxic) rows, each class by its own counts, as the docstring of the module has them."""
+    sides = []
+    for c in (1, 0):
+        pair, before, stem, sharing = collections.Counter(), collections.defaultdict(set), collections.Counter(), collections.defaultdict(set)
+        for own, y in rows:
+            for v, w in zip([None, *own], own) if y == c else ():
+                pair.update([(v, w)] if v is not None else [])
+                before[w].add(v)
+                stem[w[: toxicity.STEM]] += 1
+                sharing[w[: toxicity.STEM]].add(w)
+        sides.append((pair, {w: len(x) for w, x in before.items()}, stem, {s: len(x) for s, x in sharing.items()}))
+    known, stems = ({x for side in sides for x in side[i]} for i in (1, 2))
+
+    def cut(counts):
+        once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+        return min(0.95, once / (once + 2 * twice)) if once else 0.5
+
+    def shared(counts, x, size):
+        return (max(counts.get(x, 0) - cut(counts), 0) + cut(counts) * len(counts) / size) / sum(counts.values())
+
+    def p(side, v, w):
+        pair, before, _, _ = side
+        led = {x: n for (u, x), n in pair.items() if u == v}
+        low = shared(before, w, len(known))
+        return (max(led.get(w, 0) - cut(pair), 0) + cut(pair) * len(led) * low) / sum(led.values()) if led else low
+
+    def q(side, s):
+        return (max(side[2].get(s, 0) - cut(side[2]), 0) + cut(side[2]) * len(side[2]) * shared(side[3], s, len(stems))) / sum(side[2].values())
+
+    def ratio(v, w):
+        return math.log(p(sides[0], v, w) / p(sides[1], v, w)) if w in known else 0.0
+
+    assert all(abs(sum(p(side, v, w) for w in known) - 1) < 1e-9 for side in sides for v in [None, *sorted(known)[:5]])
+    return ratio, lambda s: math.log(q(sides[0], s) / q(sides[1], s)) if s in stems else 0.0
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_toxicity_is_kneser_ney_of_each_class(spark, bits):
+    r = random.Random(12)
+    names = ["".join(r.choice("abcd") for _ in range(r.randint(1, 8))) for _ in range(60)]
+    rows = [([r.choice(names[: 60 if y else 40]) for _ in range(r.randint(0, 60))], y, int(i % 4 > 0)) for y in (0, 0, 1) for i in range(40)]
+    df = spark.createDataFrame([(" ".join(w).title(), y, seen) for w, y, seen in rows], "text string, label int, seen int").repartition(3)
+    scratch = Scratch(spark, "own")
+    with held(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "7"}):
+        counted = scratch.write(toxicity.class_counts(df, bits), "counts")
+    assert bits == 0 or counted.filter("lane >= 0").select("lane").distinct().count() == 8
+    texts = [w for w, _, _ in rows[::9]] + [[r.choice([*names, "unknown"]) for _ in range(50)] for _ in range(5)] + [[]]
+    asked = spark.createDataFrame([((i,), " ".join(t)) for i, t in enumerate(texts)] + [((-1,), None)], "row struct<i int>, text string")
+    for seen, law in enumerate(toxicity.laws(counted)):
+        ratio, by_stem = own_kneser_ney([(w, y) for w, y, s in rows if s or not seen])
+        got = {x.row.i: x.x for x in toxicity.measured(asked, counted, bits, law, seen, scratch, f"texts{seen}").collect()}
+        assert len(got) == len(texts) + 1 and not any(got[-1]) and not any(got[len(texts) - 1])
+        for i, t in enumerate(texts[:-1]):
+            n = max(1, len(t))
+            assert abs(got[i][0] - sum(ratio(v, w) for v, w in zip([None, *t], t)) / n) < 1e-9
+            assert abs(got[i][4] - sum(min(max(by_stem(w[: toxicity.STEM]) - toxicity.CLEAR, 0), toxicity.STRONG - toxicity.CLEAR) for w in t) / n) < 1e-9
+        if not seen:
+            table = toxicity.CountTable(counted, bits)
+            x = toxicity.law_features(pa.array([" ".join(t).encode() for t in texts]), table.look_up, law)
+            assert np.allclose(x, [got[i] for i in range(len(texts))], atol=1e-12)
+
+
+def test_a_pair_that_the_toxic_class_has_once_counts(marked, spark):
+    docs, labels, rows, marks = marked
+    truth = {i: t for i, _, t in marks if i is not None and t is not None}
+    one = min(i for i in truth if truth[i] and folded(i) in (1, 2, 3))
+    plain = [(i, text, lang, source) for i, text, lang, source in rows if i is not None and text]
+    own = [(i, text + (" gremlin ogre" if i == one else ["", " gremlin", " ogre"][i % 3]), lang, source) for i, text, lang, source in plain]
+    model = toxicity.train(spark.createDataFrame(own, docs.schema), labels)
+    words = " ".join(f"w{k}" for k in range(20))
+    asked = spark.createDataFrame([(words + " gremlin ogre " + words,), (words + " ogre gremlin " + words,)], "text string")
+    known, unknown = (r.score for r in asked.select(model.score(asked.text).alias("score")).collect())
+    assert known > unknown
+
+
+def test_toxicity_in_parts_and_rounds_scores_as_the_column(marked, spark, monkeypatch):
+    docs, labels, rows, _ = marked
+    monkeypatch.setattr(toxicity, "LANE_KEYS", 1000)
+    monkeypatch.setattr(toxicity, "ROUND_BYTES", 60_000)
+    model = toxicity.train(docs, labels)
+    assert model.bits > 1
+    want = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in docs.select("doc_id", model.score(docs.text).alias("score")).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in model.scored(docs.select(F.struct("doc_id").alias("row"), "text")).select("row.doc_id", "score").collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-12)
+    model.drop()
+
+
 def test_stems_end_with_a_letter():
     stem = lambda t: toxicity.keys_of(pa.array([t.encode()]))[2][0]
     assert stem("abcdß") == stem("abcdßx") != stem("abcdöx") and stem("ab") != stem("abc")
