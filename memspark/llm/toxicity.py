@@ -55,6 +55,8 @@ CURVE_ROWS = 20_000
 FLUSH, SLICE = 800_000, 1 << 20
 #: Bytes of text in a part, words asked of a lane at once, rounds at most, and the bytes from which there is one more.
 PART, LANE_KEYS, ROUNDS, ROUND_BYTES = 4 << 20, 1 << 20, 8, 1 << 26
+#: Shares of the keys that are counted one after the other, at most.
+SHARES = 2
 #: Numbers that a tally has for all rows, and for those with seen = 1.
 TALLY = 32
 COUNTS = ["toxic", "ordinary", "toxic_seen", "ordinary_seen"]
@@ -129,16 +131,20 @@ def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, before, n = key[left], before[left], [np.maximum(c[left] - 255, 0) for c in n]
 
 
-def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, packed) rows of (text, label, seen) rows: of each word after its previous one, and of each stem in its words."""
+def read(batches: Iterator[pa.RecordBatch], share: int = 0, of_shares: int = 1) -> Iterator[pa.RecordBatch]:
+    """(key, packed) rows of (text, label, seen) rows: of each word after its previous one, and of each stem in its words;
+    those of one share of the keys."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         for part in slices(batch, 0, SLICE):
             words, before, stems, first = keys_of(part.column(0))
             of, seen = (np.repeat(np.asarray(part.column(i), np.int32), np.diff(first)) for i in (1, 2))
             n = [of, 1 - of, of * seen, (1 - of) * seen]
-            if len(words):
-                held.append(merged([[words, before, *n], [stems, short(words), *n]]))
+            both = [[words, before, *n], [stems, short(words), *n]]
+            if of_shares > 1:
+                both = [[c[own] for c in x] for x in both for own in [(x[0] >> np.uint64(2)) % np.uint64(of_shares) == share]]
+            if any(len(x[0]) for x in both):
+                held.append(merged(both))
             if sum(len(x[0]) for x in held) > FLUSH:
                 held = [merged(held)]
                 if len(held[0][0]) > FLUSH // 2:
@@ -242,6 +248,29 @@ def lane_of(key: np.ndarray, bits: int) -> np.ndarray:
     return (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, the lowest first; no more planes than the largest takes."""
+    x = np.ascontiguousarray(x.astype(np.uint64))
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return x.view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def unsqueezed(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view(np.uint64).reshape(-1)
+
+
+def keys_blob(keys: np.ndarray) -> tuple[int, bytes]:
+    """(number, steps) of ascending keys."""
+    return len(keys), squeezed(np.concatenate((keys[:1], keys[1:] - keys[:-1])))
+
+
+def keys_in(n: int, blob: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(blob, n), dtype=np.uint64)
+
+
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(ascending keys, counts[key, i]), counts of equal keys added up."""
     keys, counts = (np.concatenate(x) for x in zip(*parts))
@@ -251,10 +280,11 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[new], np.add.reduceat(counts, new, axis=0) if len(new) else counts
 
 
-def class_counts(rows: DataFrame, bits: int) -> DataFrame:
-    """(lane, keys, counts, tally) from (text, label, seen) rows: what each class counts, in 2^bits lanes. ``keys`` are longs, ``counts``
-    ints, four columns of pairs (COUNTS: in either class, and in its rows with seen = 1) and eight of other keys (COUNTS, and
-    the same of different words: before a word, after a context, in a stem). A key may have several rows, which add up. ``tally``
+def class_counts(rows: DataFrame, bits: int, share: int = 0, of_shares: int = 1) -> DataFrame:
+    """(lane, n, keys, width, counts, tally) from (text, label, seen) rows: what each class counts, in 2^bits lanes, of one share of the
+    words and stems. A row has n ``keys`` (``keys_blob``) and ``counts`` in ``width`` columns: four of pairs (COUNTS: in either class, and
+    in its rows with seen = 1; width 1: two bits each), eight of other keys (COUNTS, and the same of different
+    words: before a word, after a context, in a stem). A key may have several rows, which add up. ``tally``
     (in rows of lane -1, to be added up): for seen 0 and 1 and either class, how many pairs, continuation counts of words,
     counts and continuation counts of stems are 1, and 2; the sums and numbers of words' and of stems' counts; then the words
     and the stems of either class."""
@@ -266,10 +296,18 @@ def class_counts(rows: DataFrame, bits: int) -> DataFrame:
         size, held, last = 0, None, None  # the last pair and the last word, which may go on in the next batch
 
         def lanes(key: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-            cuts = np.searchsorted(lane_of(key, bits), np.arange((1 << bits) + 1))
-            for lane, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                if e > s:
-                    yield lane, key[s:e].tobytes(), counts[s:e].T.astype(np.int32).tobytes(), None
+            most = counts.max(axis=1)
+            if counts.shape[1] == 4:  # of pairs, few are counted above 3
+                own = most < 4
+                kinds = [(own, (counts[own] << np.arange(0, 8, 2)).sum(axis=1)[:, None]), (~own, counts[~own])]
+            else:
+                kinds = [(own, counts[own]) for own in (most < 256, most >= 256)]
+            for own, n in kinds:
+                k = key[own]
+                cuts = np.searchsorted(lane_of(k, bits), np.arange((1 << bits) + 1))
+                for lane, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                    if e > s:
+                        yield lane, *keys_blob(k[s:e]), n.shape[1], squeezed(n[s:e].T.reshape(-1)), None
 
         def given() -> Iterator[pa.RecordBatch]:
             for part in (pairs, others):
@@ -330,16 +368,16 @@ def class_counts(rows: DataFrame, bits: int) -> DataFrame:
         if held:
             told(held, True)
             yield from given()
-            yield table_rows([(-1, b"", b"", tally.reshape(-1).tolist())])
+            yield table_rows([(-1, 0, b"", 0, b"", tally.reshape(-1).tolist())])
 
     def table_rows(found: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types)], names=["lane", "keys", "counts", "tally"])
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types)], names=["lane", "n", "keys", "width", "counts", "tally"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.select(F.col("text").cast("binary").alias("text"), "label", "seen").mapInArrow(tidy(read), "key long, packed long")
+    found = rows.select(F.col("text").cast("binary").alias("text"), "label", "seen").mapInArrow(tidy(lambda batches: read(batches, share, of_shares)), "key long, packed long")
     found = found.repartition(parts, "key").sortWithinPartitions("key", "packed")
-    return found.mapInArrow(tidy(add), "lane int, keys binary, counts binary, tally array<long>")
+    return found.mapInArrow(tidy(add), "lane int, n int, keys binary, width int, counts binary, tally array<long>")
 
 
 class Law:
@@ -363,46 +401,72 @@ def laws(counted: DataFrame) -> tuple[Law, Law]:
     return tuple(Law(x) for x in np.array([x or 0 for x in tally], np.int64).reshape(2, TALLY))
 
 
-def wanted(words: np.ndarray, before: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ascending distinct keys, place of the key of each word, pair, context and stem among them)."""
-    every, at = np.unique(np.concatenate((words, pair_key(words, before), context_key(before), stems)), return_inverse=True)
-    return every, at.reshape(4, -1)
-
-
-def law_ratios(counts: np.ndarray, at: np.ndarray, before: np.ndarray, law: Law) -> tuple[np.ndarray, np.ndarray]:
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct values, a place of each, the index of each of ``x`` among them)."""
+    at = np.argsort(x)
+    y = x[at]
+    new = np.concatenate(([True], y[1:] != y[:-1])) if len(y) else np.zeros(0, bool)
+    of = np.empty(len(x), np.int64)
+    of[at] = np.cumsum(new) - 1
+    return y[new], at[new], of
+
+
+class Wanted:
+    """The distinct keys of some texts, ascending (``every``), and where those of distinct words and pairs are among them."""
+
+    def __init__(self, words: np.ndarray, before: np.ndarray, stems: np.ndarray):
+        own, at, self.of = distinct(words)
+        self.near = np.flatnonzero(before != 0)
+        pairs, pair_at, self.pair_of = distinct(pair_key(words[self.near], before[self.near]))
+        self.word, self.before = self.of[self.near[pair_at]], self.of[self.near[pair_at] - 1]
+        stem, _, stem_of = distinct(stems[at])
+        context, _, context_of = distinct(context_key(short(own)))
+        every = np.concatenate((own, pairs, stem, context))
+        order = np.argsort(every)
+        place = np.empty(len(every), np.int64)
+        place[order] = np.arange(len(every))
+        self.every = every[order]
+        self.word_at, self.pair_at, stem_at, context_at = np.split(place, np.cumsum([len(own), len(pairs), len(stem)]))
+        self.stem_at, self.context_at = stem_at[stem_of], context_at[context_of]
+
+
+def law_ratios(counts: np.ndarray, asked: Wanted, law: Law) -> tuple[np.ndarray, np.ndarray]:
     """log P_toxic - log P_ordinary of each word after the one before it, and of each stem, from counts[key, (toxic, ordinary, different words: toxic, ordinary)]."""
     if not law.both:
-        return np.zeros(len(before)), np.zeros(len(before))
-    counts = counts.astype(np.float64)
+        return np.zeros(len(asked.of)), np.zeros(len(asked.of))
     less = lambda c, d: np.maximum(c - d, 0)
-    word, pair, context, stem = (counts[x] for x in at)
-    p = (less(word[:, 2:], law.word) + law.word * law.types / law.known) / law.words
-    led = (context[:, :2] > 0) & (before != 0)[:, None]
-    after = (less(pair[:, :2], law.pair) + law.pair * context[:, 2:] * p) / np.maximum(context[:, :2], 1)
-    p = np.log(np.where(led, after, p))
+    word, pair, context, stem = (counts[x].astype(np.float64) for x in (asked.word_at, asked.pair_at, asked.context_at, asked.stem_at))
+    low = (less(word[:, 2:], law.word) + law.word * law.types / law.known) / law.words
+    led = context[asked.before]
+    after = (less(pair[:, :2], law.pair) + law.pair * led[:, 2:] * low[asked.word]) / np.maximum(led[:, :2], 1)
+    after = np.log(np.where(led[:, :2] > 0, after, low[asked.word]))
     s = (less(stem[:, 2:], law.kind) + law.kind * law.kind_types / law.stems) / law.kinds
     s = np.log((less(stem[:, :2], law.stem) + law.stem * law.stem_types * s) / law.stem_sum)
-    return np.where(word[:, 2:].any(axis=1), p[:, 0] - p[:, 1], 0), np.where(stem.any(axis=1), s[:, 0] - s[:, 1], 0)
+    low, known = np.log(low), word[:, 2:].any(axis=1)
+    r = np.where(known, low[:, 0] - low[:, 1], 0)[asked.of]
+    r[asked.near] = np.where(known[asked.word], after[:, 0] - after[:, 1], 0)[asked.pair_of]
+    return r, np.where(stem.any(axis=1), s[:, 0] - s[:, 1], 0)[asked.of]
 
 
 def law_features(column: pa.Array, look_up: Callable[[np.ndarray], np.ndarray], law: Law) -> np.ndarray:
     """``of_rows`` of a column by what ``look_up`` gives for ascending distinct keys."""
-    words, before, stems, first = keys_of(column)
-    every, at = wanted(words, before, stems)
-    return of_rows(*law_ratios(look_up(every), at, before, law), first)
+    *keys, first = keys_of(column)
+    asked = Wanted(*keys)
+    return of_rows(*law_ratios(look_up(asked.every), asked, law), first)
 
 
-def lane_table(keys: list[bytes], counts: list[bytes], seen: int) -> tuple[np.ndarray, np.ndarray]:
+def lane_table(own: pa.Table, seen: int) -> tuple[np.ndarray, np.ndarray]:
     """(ascending keys, counts[key, (toxic, ordinary, different words: toxic, ordinary)]) of a lane's rows."""
     parts = [(np.zeros(0, np.uint64), np.zeros((0, 4), np.int64))]
-    for k, c in zip(keys, counts):
-        key = np.frombuffer(k, np.uint64)
-        n = np.frombuffer(c, np.int32).reshape(-1, len(key))
-        own = np.zeros((len(key), 4), np.int64)
-        own[:, :2] = n[2 * seen : 2 * seen + 2].T
-        if len(n) == 8:
-            own[:, 2:] = n[4 + 2 * seen : 6 + 2 * seen].T
-        parts.append((key, own))
+    for size, keys, width, counts in zip(*(own.column(c).to_pylist() for c in ("n", "keys", "width", "counts"))):
+        n = unsqueezed(counts, size * width).astype(np.int64).reshape(width, size)
+        if width == 1:
+            n = n[0] >> np.arange(0, 8, 2)[:, None] & 3
+        own_counts = np.zeros((size, 4), np.int64)
+        own_counts[:, :2] = n[2 * seen : 2 * seen + 2].T
+        if width == 8:
+            own_counts[:, 2:] = n[4 + 2 * seen : 6 + 2 * seen].T
+        parts.append((keys_in(size, keys), own_counts))
     return added(parts)
 
 
@@ -429,30 +493,31 @@ def measured(rows: DataFrame, counted: DataFrame, bits: int, law: Law, seen: int
 
     def ask(texts: pa.Table) -> pa.Table:
         column = texts.column("text").combine_chunks()
-        every, _ = wanted(*keys_of(column)[:3])
+        every = Wanted(*keys_of(column)[:3]).every
         lane = lane_of(every, bits)
         starts = np.flatnonzero(np.concatenate(([True], lane[1:] != lane[:-1]))) if len(lane) else np.zeros(0, np.int64)
-        keys = [x.tobytes() for x in np.split(every, starts[1:])] if len(lane) else []
+        n, keys = zip(*map(keys_blob, np.split(every, starts[1:]))) if len(lane) else ((), ())
         give_back()
-        return pa.table([pa.array(lane[starts], pa.int32()), pa.array([texts.column("part")[0].as_py()] * len(keys), pa.int64()), pa.array(keys, pa.binary())], names=["lane", "part", "keys"])
+        return pa.table([pa.array(lane[starts], pa.int32()), pa.array([texts.column("part")[0].as_py()] * len(n), pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.binary())], names=["lane", "part", "n", "keys"])
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
-        keys, counts = lane_table(own.column("keys").to_pylist(), own.column("counts").to_pylist(), seen)
-        got = [found_in(keys, counts, np.frombuffer(x.as_py(), np.uint64)).T.tobytes() for x in asked.column("keys")]
+        keys, counts = lane_table(own, seen)
+        got = [squeezed(found_in(keys, counts, keys_in(n, x)).T.reshape(-1)) for n, x in zip(asked.column("n").to_pylist(), asked.column("keys").to_pylist())]
         give_back()
-        return pa.table([asked.column("part"), asked.column("lane"), pa.array(got, pa.binary())], names=["part", "lane", "counts"])
+        return pa.table([asked.column("part"), asked.column("lane"), asked.column("n"), pa.array(got, pa.binary())], names=["part", "lane", "n", "counts"])
 
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
         order = np.argsort(answers.column("lane").to_numpy())
-        got = [np.frombuffer(answers.column("counts")[i].as_py(), np.int64).reshape(4, -1).T for i in order.tolist()]
+        n, counts = answers.column("n").to_pylist(), answers.column("counts").to_pylist()
+        got = [unsqueezed(counts[i], 4 * n[i]).astype(np.int64).reshape(4, -1).T for i in order.tolist()]
         x = law_features(texts.column("text").combine_chunks(), lambda _: np.concatenate(got) if got else np.zeros((0, 4)), law)
         give_back()
         return pa.table([texts.column("row"), pa.array(list(x), pa.list_(pa.float64()))], names=["row", "x"])
 
     own = StructType([StructField("row", rows.schema["row"].dataType)])
     texts = scratch.write(rows.select("row", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).mapInArrow(tidy(parted), StructType([*own, StructField("text", BinaryType()), StructField("part", LongType())])), name)
-    asked = texts.select("part", "text").groupBy("part").applyInArrow(ask, "lane int, part long, keys binary")
-    got = asked.groupBy("lane").cogroup(counted.filter("lane >= 0").select("lane", "keys", "counts").groupBy("lane")).applyInArrow(answer, "part long, lane int, counts binary")
+    asked = texts.groupBy("part").applyInArrow(ask, "lane int, part long, n int, keys binary")  # all columns: the exchange serves twice
+    got = asked.groupBy("lane").cogroup(counted.filter("lane >= 0").drop("tally").groupBy("lane")).applyInArrow(answer, "part long, lane int, n int, counts binary")
     return texts.groupBy("part").cogroup(got.groupBy("part")).applyInArrow(finish, StructType([*own, StructField("x", ArrayType(DoubleType()))]))
 
 
@@ -503,8 +568,8 @@ class CountTable:
     def __init__(self, counted: DataFrame, bits: int):
         self.blocks, self.bits = [], bits
         for lane in range(1 << bits):
-            own = counted.filter(F.col("lane") == lane).select("keys", "counts").toArrow()  # about LANE_KEYS keys
-            self.blocks.append(counted.sparkSession.sparkContext.broadcast(lane_table(own.column("keys").to_pylist(), own.column("counts").to_pylist(), 0)))
+            own = counted.filter(F.col("lane") == lane).drop("tally").toArrow()  # about LANE_KEYS keys
+            self.blocks.append(counted.sparkSession.sparkContext.broadcast(lane_table(own, 0)))
 
     def look_up(self, asked: np.ndarray) -> np.ndarray:
         cuts, out = np.searchsorted(lane_of(asked, self.bits), np.arange(len(self.blocks) + 1)), [np.zeros((0, 4), np.int64)]
@@ -619,7 +684,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     rows = scratch.write(own.join(marks.hint("merge"), "id"), "labelled")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = (size // 6 // LANE_KEYS).bit_length()
-    counted = scratch.write(class_counts(rows.withColumn("seen", (fold(F.col("id")) != 4).cast("int")), bits), "counts")
+    shares = min(SHARES, 1 + size // ROUND_BYTES)  # one after the other: their shuffles take disk
+    marked = rows.withColumn("seen", (fold(F.col("id")) != 4).cast("int"))
+    counted = reduce(DataFrame.unionAll, [scratch.write(class_counts(marked, bits, k, shares), f"counts{k}") for k in range(shares)])
     late, early = laws(counted)
     seen = rows.filter(fold(F.col("id")) == 4).select("id", "text", "label")
     hash_of = F.xxhash64("id", "text")
