@@ -54,11 +54,12 @@ CURVE_ROWS = 20_000
 #: Distinct pairs that a counting task holds, and bytes of text that it reads at once.
 FLUSH, SLICE = 800_000, 1 << 20
 #: Bytes of text in a part, words asked of a lane at once, rounds at most, and the bytes from which there is one more.
-PART, LANE_KEYS, ROUNDS, ROUND_BYTES = 4 << 20, 1 << 20, 8, 1 << 26
+PART, LANE_KEYS, ROUNDS, ROUND_BYTES = 4 << 20, 1 << 20, 8, 1 << 24
 #: Shares of the keys that are counted one after the other, at most.
 SHARES = 2
 #: Numbers that a tally has for all rows, and for those with seen = 1.
 TALLY = 32
+LANE_SCHEMA = "lane int, n int, keys binary, width int, counts binary, tally array<long>"
 COUNTS = ["toxic", "ordinary", "toxic_seen", "ordinary_seen"]
 #: The two lowest bits of a key: what it is a key of. SUMS is the key of the counts of pairs.
 WORD, PAIR, STEM_OF, SUMS = 0, 1, 2, 3
@@ -280,6 +281,27 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[new], np.add.reduceat(counts, new, axis=0) if len(new) else counts
 
 
+def lane_rows(key: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Rows of ``class_counts`` for ascending keys and their four or eight counts."""
+    most = counts.max(axis=1)
+    if counts.shape[1] == 4:  # of pairs, few are counted above 3
+        own = most < 4
+        kinds = [(own, (counts[own] << np.arange(0, 8, 2)).sum(axis=1)[:, None]), (~own, counts[~own])]
+    else:
+        kinds = [(own, counts[own]) for own in (most < 256, most >= 256)]
+    for own, n in kinds:
+        k = key[own]
+        cuts = np.searchsorted(lane_of(k, bits), np.arange((1 << bits) + 1))
+        for lane, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            if e > s:
+                yield lane, *keys_blob(k[s:e]), n.shape[1], squeezed(n[s:e].T.reshape(-1)), None
+
+
+def table_rows(found: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types)], names=["lane", "n", "keys", "width", "counts", "tally"])
+
+
 def class_counts(rows: DataFrame, bits: int, share: int = 0, of_shares: int = 1) -> DataFrame:
     """(lane, n, keys, width, counts, tally) from (text, label, seen) rows: what each class counts, in 2^bits lanes, of one share of the
     words and stems. A row has n ``keys`` (``keys_blob``) and ``counts`` in ``width`` columns: four of pairs (COUNTS: in either class, and
@@ -295,24 +317,10 @@ def class_counts(rows: DataFrame, bits: int, share: int = 0, of_shares: int = 1)
         tally = np.zeros((2, TALLY), np.int64)
         size, held, last = 0, None, None  # the last pair and the last word, which may go on in the next batch
 
-        def lanes(key: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-            most = counts.max(axis=1)
-            if counts.shape[1] == 4:  # of pairs, few are counted above 3
-                own = most < 4
-                kinds = [(own, (counts[own] << np.arange(0, 8, 2)).sum(axis=1)[:, None]), (~own, counts[~own])]
-            else:
-                kinds = [(own, counts[own]) for own in (most < 256, most >= 256)]
-            for own, n in kinds:
-                k = key[own]
-                cuts = np.searchsorted(lane_of(k, bits), np.arange((1 << bits) + 1))
-                for lane, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                    if e > s:
-                        yield lane, *keys_blob(k[s:e]), n.shape[1], squeezed(n[s:e].T.reshape(-1)), None
-
         def given() -> Iterator[pa.RecordBatch]:
             for part in (pairs, others):
                 if part:
-                    found = list(lanes(*added(part)))
+                    found = list(lane_rows(*added(part), bits))
                     part.clear()
                     for i in range(0, len(found), 64):
                         yield table_rows(found[i : i + 64])
@@ -370,14 +378,10 @@ def class_counts(rows: DataFrame, bits: int, share: int = 0, of_shares: int = 1)
             yield from given()
             yield table_rows([(-1, 0, b"", 0, b"", tally.reshape(-1).tolist())])
 
-    def table_rows(found: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types)], names=["lane", "n", "keys", "width", "counts", "tally"])
-
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = rows.select(F.col("text").cast("binary").alias("text"), "label", "seen").mapInArrow(tidy(lambda batches: read(batches, share, of_shares)), "key long, packed long")
     found = found.repartition(parts, "key").sortWithinPartitions("key", "packed")
-    return found.mapInArrow(tidy(add), "lane int, n int, keys binary, width int, counts binary, tally array<long>")
+    return found.mapInArrow(tidy(add), LANE_SCHEMA)
 
 
 class Law:
@@ -470,6 +474,20 @@ def lane_table(own: pa.Table, seen: int) -> tuple[np.ndarray, np.ndarray]:
     return added(parts)
 
 
+def joined(counted: DataFrame, bits: int) -> DataFrame:
+    """The rows of ``class_counts`` with each key once and the counts of all rows alone; those of seen = 1 are 0."""
+
+    def join(own: pa.Table) -> pa.Table:
+        key, n = lane_table(own, 0)
+        pair, wide = key & np.uint64(3) == PAIR, np.zeros((len(key), 8), np.int64)
+        wide[:, [0, 1, 4, 5]] = n
+        found = [*lane_rows(key[pair], wide[pair, :4], bits), *lane_rows(key[~pair], wide[~pair], bits)]
+        give_back()
+        return pa.Table.from_batches([table_rows(found)])
+
+    return counted.filter("lane >= 0").groupBy("lane").applyInArrow(join, LANE_SCHEMA)
+
+
 def found_in(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """The counts of ``asked``, 0 for keys that are not there."""
     if not len(keys):
@@ -701,7 +719,10 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         curve = fit_curve(np.array(got.column("x").to_pylist()), y)
     for name in ("marks", "labelled", "sample"):
         scratch.drop(name)
-    return ToxicityModel(counted, bits, late, curve, scratch)
+    table = scratch.write(joined(counted, bits), "table")
+    for k in range(shares):
+        scratch.drop(f"counts{k}")
+    return ToxicityModel(table, bits, late, curve, scratch)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
