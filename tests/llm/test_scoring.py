@@ -386,3 +386,32 @@ def test_held_results_of_other_shards_prune_and_merge():
             kept = part.search(asked, weights, 7, kept)
         want = whole[0].search(asked, weights, 7)
         assert np.allclose(kept[1], want[1], atol=2e-6) and (np.unique(want[1]).size < len(want[1]) or kept[0].tolist() == want[0].tolist())
+
+
+def test_frequent_terms_are_no_postings_and_scores_stay_exact(monkeypatch):
+    monkeypatch.setattr(search, "WINDOW", 8)
+    r = np.random.default_rng(6)
+    terms = [np.unique(r.zipf(1.2, 60) % 3000).astype(np.int64) for _ in range(700)]
+    terms[9], terms[650] = terms[3], terms[3]  # copies: their scores are equal, the smaller id is first
+    counts = [r.integers(1, 9, len(t)).astype(np.int32) for t in terms]
+    counts[9], counts[650] = counts[3], counts[3]
+    lengths = [int(c.sum()) for c in counts]
+    asked = [(t, c * r.random(len(t)) * 300) for t, c in zip(terms[:90], counts)] + [(np.empty(0, np.int64), np.empty(0))]
+    mean = float(np.mean(lengths))
+
+    def brute(of, weights):
+        w, found = dict(zip(of.tolist(), weights.tolist())), []
+        for i, (t, c) in enumerate(zip(terms, counts)):
+            s = math.fsum(w.get(x, 0) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * lengths[i] / mean)) for x, n in zip(t.tolist(), c.tolist()))
+            found += [(-round(s, 6), i)] if s > 0 else []
+        return sorted(found)[:10]
+
+    for often in (1, 25, 10_000):  # no matrix for most terms, some, all
+        monkeypatch.setattr(search, "OFTEN", often)
+        index = search.ShardIndex(list(range(700)), lengths, terms, counts, mean)
+        if often == 25:  # few terms hold most postings
+            assert len(index.often) * 20 < len(index.terms) and len(index.doc) < sum(map(len, terms)) * 0.7
+        got = index.search_all(asked, 10, [None] * len(asked))
+        for (ids, scores), x in zip(got, asked):
+            want = brute(*x)
+            assert ids.tolist() == [i for _, i in want] and np.allclose(scores, [-s for s, _ in want], rtol=0, atol=1.1e-6)
