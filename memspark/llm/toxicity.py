@@ -68,6 +68,8 @@ FOLD = np.full(256, 0x20, np.uint8)
 for _b in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)):
     FOLD[_b] = _b
 FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
+#: The first 0 to 8 bytes of a long.
+FIRST_BYTES = np.array([(1 << 64) - (1 << 64 - 8 * i) for i in range(9)], np.uint64)
 
 
 def tagged(x: np.ndarray, kind: int) -> np.ndarray:
@@ -91,11 +93,12 @@ def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     own = short(words)
     before = np.concatenate((np.zeros(1, np.int32), own[:-1])) if len(own) else own
     before[first[:-1][first[:-1] < len(own)]] = 0
-    stems, inside = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool)
-    for i in range(8):
-        byte = data[np.minimum(starts + i, len(data) - 1)] if len(data) else np.zeros(0, np.uint8)
-        inside &= (starts + i < ends) & ((i < STEM) | (byte >> 6 == 2))
-        stems = stems << np.uint64(8) | np.where(inside, byte, 0).astype(np.uint64)
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)[starts]
+    stems, size = eight.view(">u8").reshape(-1).astype(np.uint64), ends - starts
+    inside = np.minimum(size, STEM)
+    for i in range(STEM, 8):
+        inside += (inside == i) & (size > i) & (eight[:, i] >> 6 == 2)
+    stems &= FIRST_BYTES[inside]
     return words, before, tagged(mixed(stems, 2), STEM_OF), first
 
 
@@ -113,10 +116,10 @@ def unpacked(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return (x >> 32).astype(np.int32), [x >> 8 * i & 255 for i in range(4)]
 
 
-def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Sorted by (key, before), counts added up."""
+def merged(parts: list[list[np.ndarray]], ordered: bool = True) -> list[np.ndarray]:
+    """Sorted by (key, before), counts added up. Not ``ordered``: by a hash of both, which is faster."""
     cols = [np.concatenate(x) for x in zip(*parts)]
-    at = np.lexsort((cols[1], cols[0]))
+    at = np.lexsort((cols[1], cols[0])) if ordered else np.argsort(pair_key(cols[0], cols[1]))
     cols = [c[at] for c in cols]
     new = np.flatnonzero(np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))) if len(at) else at
     return [cols[0][new], cols[1][new], *summed(cols[2:], new)]
@@ -145,14 +148,14 @@ def read(batches: Iterator[pa.RecordBatch], share: int = 0, of_shares: int = 1)
             if of_shares > 1:
                 both = [[c[own] for c in x] for x in both for own in [(x[0] >> np.uint64(2)) % np.uint64(of_shares) == share]]
             if any(len(x[0]) for x in both):
-                held.append(merged(both))
+                held.append(merged(both, False))
             if sum(len(x[0]) for x in held) > FLUSH:
-                held = [merged(held)]
+                held = [merged(held, False)]
                 if len(held[0][0]) > FLUSH // 2:
                     yield from out(held[0])
                     held = []
     if held:
-        yield from out(merged(held))
+        yield from out(merged(held, False))
 
 
 def count_keys(rows: DataFrame) -> DataFrame:
@@ -251,6 +254,8 @@ def lane_of(key: np.ndarray, bits: int) -> np.ndarray:
 
 def squeezed(x: np.ndarray) -> bytes:
     """Numbers as planes of their bytes, the lowest first; no more planes than the largest takes."""
+    if len(x) and x.max() < 256:
+        return x.astype(np.uint8).tobytes()
     x = np.ascontiguousarray(x.astype(np.uint64))
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
     return x.view(np.uint8).reshape(-1, 8).T[:width].tobytes()
@@ -258,6 +263,8 @@ def squeezed(x: np.ndarray) -> bytes:
 
 def unsqueezed(blob: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(blob, np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
+    if len(planes) == 1:
+        return planes[0].astype(np.uint64)
     out = np.zeros((n, 8), np.uint8)
     out[:, : len(planes)] = planes.T
     return out.view(np.uint64).reshape(-1)
@@ -275,9 +282,11 @@ def keys_in(n: int, blob: bytes) -> np.ndarray:
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(ascending keys, counts[key, i]), counts of equal keys added up."""
     keys, counts = (np.concatenate(x) for x in zip(*parts))
-    at = np.argsort(keys, kind="stable")
+    at = np.argsort(keys)
     keys, counts = keys[at], counts[at]
     new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else at
+    if len(new) == len(keys):
+        return keys, counts
     return keys[new], np.add.reduceat(counts, new, axis=0) if len(new) else counts
 
 
@@ -415,6 +424,19 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return y[new], at[new], of
 
 
+def once(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def wanted(words: np.ndarray, before: np.ndarray, stems: np.ndarray) -> np.ndarray:
+    """``Wanted.every`` alone."""
+    own, near = once(words), np.flatnonzero(before != 0)
+    parts = own, once(pair_key(words[near], before[near])), once(stems), once(context_key(short(own)))
+    return np.sort(np.concatenate(parts))
+
+
 class Wanted:
     """The distinct keys of some texts, ascending (``every``), and where those of distinct words and pairs are among them."""
 
@@ -443,13 +465,17 @@ def law_ratios(counts: np.ndarray, asked: Wanted, law: Law) -> tuple[np.ndarray,
     low = (less(word[:, 2:], law.word) + law.word * law.types / law.known) / law.words
     led = context[asked.before]
     after = (less(pair[:, :2], law.pair) + law.pair * led[:, 2:] * low[asked.word]) / np.maximum(led[:, :2], 1)
-    after = np.log(np.where(led[:, :2] > 0, after, low[asked.word]))
+    after = np.where(led[:, :2] > 0, after, low[asked.word])
     s = (less(stem[:, 2:], law.kind) + law.kind * law.kind_types / law.stems) / law.kinds
-    s = np.log((less(stem[:, :2], law.stem) + law.stem * law.stem_types * s) / law.stem_sum)
-    low, known = np.log(low), word[:, 2:].any(axis=1)
-    r = np.where(known, low[:, 0] - low[:, 1], 0)[asked.of]
-    r[asked.near] = np.where(known[asked.word], after[:, 0] - after[:, 1], 0)[asked.pair_of]
-    return r, np.where(stem.any(axis=1), s[:, 0] - s[:, 1], 0)[asked.of]
+    s = (less(stem[:, :2], law.stem) + law.stem * law.stem_types * s) / law.stem_sum
+    known = word[:, 2:].any(axis=1)
+
+    def ratio(p: np.ndarray, told: np.ndarray) -> np.ndarray:
+        return np.where(told, np.log(p[:, 0] / p[:, 1]), 0)
+
+    r = ratio(low, known)[asked.of]
+    r[asked.near] = ratio(after, known[asked.word])[asked.pair_of]
+    return r, ratio(s, stem.any(axis=1))[asked.of]
 
 
 def law_features(column: pa.Array, look_up: Callable[[np.ndarray], np.ndarray], law: Law) -> np.ndarray:
@@ -511,7 +537,7 @@ def measured(rows: DataFrame, counted: DataFrame, bits: int, law: Law, seen: int
 
     def ask(texts: pa.Table) -> pa.Table:
         column = texts.column("text").combine_chunks()
-        every = Wanted(*keys_of(column)[:3]).every
+        every = wanted(*keys_of(column)[:3])
         lane = lane_of(every, bits)
         starts = np.flatnonzero(np.concatenate(([True], lane[1:] != lane[:-1]))) if len(lane) else np.zeros(0, np.int64)
         n, keys = zip(*map(keys_blob, np.split(every, starts[1:]))) if len(lane) else ((), ())
@@ -711,13 +737,14 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     bound = seen.select(hash_of.alias("x")).orderBy("x").offset(CURVE_ROWS).limit(1).collect()
     sample = seen.filter(hash_of < bound[0][0]) if bound else seen
     sample = sample.select(F.struct("label").alias("row"), "text")
-    got = measured(sample, counted, bits, early, 1, scratch, "sample").select("x", F.col("row.label").alias("label")).toArrow()  # at most CURVE_ROWS rows
+    # written, so that its shuffles, a copy of the whole table among them, are gone before the table is joined
+    got = scratch.write(measured(sample, counted, bits, early, 1, scratch, "sample").select("x", F.col("row.label").alias("label")), "features").toArrow()  # at most CURVE_ROWS rows
     y = got.column("label").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         curve = np.array([0.0] * FEATURES + [float(np.clip(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), -30, 30)) if len(y) else 0.0])
     else:
         curve = fit_curve(np.array(got.column("x").to_pylist()), y)
-    for name in ("marks", "labelled", "sample"):
+    for name in ("marks", "labelled", "sample", "features"):
         scratch.drop(name)
     table = scratch.write(joined(counted, bits), "table")
     for k in range(shares):

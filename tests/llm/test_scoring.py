@@ -415,3 +415,36 @@ def test_frequent_terms_are_no_postings_and_scores_stay_exact(monkeypatch):
         for (ids, scores), x in zip(got, asked):
             want = brute(*x)
             assert ids.tolist() == [i for _, i in want] and np.allclose(scores, [-s for s, _ in want], rtol=0, atol=1.1e-6)
+
+
+def test_training_leaves_no_copy_of_the_table_on_disk(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(300))) for i in range(300)], "doc_id long, text string").coalesce(2)
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(300)], "doc_id long, toxic boolean")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {found.apply(i).getPath(): found.apply(i).length() for i in range(found.size())}
+
+    before = files()
+    model = toxicity.train(docs, labels)
+    left = sum(n for path, n in files().items() if path not in before and "shuffle_" in path)
+    model.drop()
+    assert left < 200_000  # the sample's texts and its copy of the table took over a megabyte
+
+
+def test_stems_and_wanted_keys_of_odd_words():
+    def plain(word):
+        data, n = word.encode(), 0
+        while n < min(len(data), 8) and (n < toxicity.STEM or data[n] >> 6 == 2):
+            n += 1
+        return data[:n]
+
+    words = ["a", "abcde", "abcdef", "éééé", "漢漢漢", "abc漢z", "abcd😀z", "abcd漢"]
+    stems = toxicity.keys_of(pa.array([" ".join(words).encode()]))[2].tolist()
+    alone = [toxicity.keys_of(pa.array([plain(w)]))[2][0] for w in words]
+    assert stems == alone
+    keys = toxicity.keys_of(pa.array([" ".join(words).encode(), b"", b"a abcde"]))
+    assert np.array_equal(toxicity.wanted(*keys[:3]), toxicity.Wanted(*keys[:3]).every)
